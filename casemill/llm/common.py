@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,8 @@ WORD = f"[^{SPACE}]+"
 ARROW_ROWS = 512
 #: Rows that one window frame of `running_start` holds, about.
 FRAME_ROWS = 1024
+#: Rows of a partition that a narrow result is written from, about.
+FILE_ROWS = 250_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +54,24 @@ def stash(df: DataFrame) -> DataFrame:
     return kept
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Keeps the rows of a frame that several steps read on the executors' disks.
+
+    Lineage stays: what a lost executor held is computed again from the input. For narrow
+    frames that are cheap to compute again; loops and stages use `stash`.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer and larger partitions for a narrow result: about FILE_ROWS rows each, but one for each core at least.
+
+    Without effect where there are no more partitions than that, as on large inputs.
+    """
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return df.coalesce(wanted)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what `stash` wrote, once nothing needs it any more."""
     path = getattr(df, "_stash_path", None)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import documents, small_batches, stash
+from casemill.llm.common import documents, keep, small_batches
 
 #: Symbols that the base counts; words of a repeated window.
 SYMBOLS, WINDOW = b"#*$%&|<>", 8
@@ -203,7 +203,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Null and empty texts have counts of zero and fail the base; repeated rows are judged
     alike; an empty table gives an empty result. Without labels the base rules decide alone.
     """
-    stats = stash(rule_statistics(docs, id_col, text_col))
+    stats = keep(rule_statistics(docs, id_col, text_col))
     return judge(stats, fit(stats, labels)).withColumnRenamed("id", id_col)
 
 

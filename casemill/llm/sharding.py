@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import documents, running_start, stash
+from casemill.llm.common import compact, documents, keep, running_start
 
 #: The planned tree: shards of a rack, racks of a region, and how many shards are laid out so.
 RACK, REGION, PLANNED = 2, 5, 40
@@ -79,7 +79,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     An empty table gives an empty result; other columns are not read.
     """
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    placed = stash(
+    placed = keep(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text).cast("long") + 16).alias("size"),
@@ -88,8 +88,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
             shard_of(key, tree(shards + 1)).alias("grown_shard"),
         )
     )
-    numbered = running_start(placed.withColumn("_one", F.lit(1).cast("long")), "shard", ["id", "text_crc32", "size"], "_one", placed.count())
-    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("start").alias("slot"), "grown_shard")
+    rows = placed.count()
+    numbered = running_start(placed.withColumn("_one", F.lit(1).cast("long")), "shard", ["id", "text_crc32", "size"], "_one", rows)
+    return compact(numbered.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("start").alias("slot"), "grown_shard"), rows)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

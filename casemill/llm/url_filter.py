@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import stash
+from casemill.llm.common import keep
 
 #: Words of a block and bits that a URL sets, one in each word; bits of filter for a listed URL.
 WORDS, BITS_PER_URL = 4, 16
@@ -89,7 +89,7 @@ def filter_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", listed
     `urls` that has one of the added names is replaced.
     """
     seen = listed.select(canonical(host_of(F.col(listed_col)), path_of(F.col(listed_col))).alias("_listed")).where("_listed <> ''").distinct()
-    seen = stash(seen)
+    seen = keep(seen)
     blocks_df, blocks = bloom(seen, "_listed", seen.count())
     parsed = urls.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     parsed = parsed.withColumn("canonical_url", canonical(F.col("host"), F.col("path"))).withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
