@@ -3,7 +3,7 @@
 Level one groups by the length of the normalised text, level two by a hash of its
 beginning, level three by the hash of all of it. A row goes on to the next level only
 while another row shares its group, so the shuffles of the later levels carry survivors
-alone. The first scan writes one narrow row per document (no text is ever shuffled); a
+alone. The first scan keeps one narrow row per document (no text is ever shuffled); a
 caller that has to report the full digest of every document has it computed in that same
 scan, else the full content is hashed for survivors only.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import SPACE_RUN, documents, stash
+from casemill.llm.common import SPACE_RUN, compact, documents, keep
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 64
@@ -51,7 +51,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that repeat both text and id are one document, and one of them stays. An empty table
     gives an empty result; other columns are not read.
     """
-    sigs = stash(signatures(docs, id_col, text_col))
+    sigs = keep(signatures(docs, id_col, text_col))
+    rows = sigs.count()
     marked = sigs.join(refine(sigs), "digest", "left").select(
         "id",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -59,13 +60,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "digest",
     )
     nth = F.row_number().over(Window.partitionBy("digest", "id").orderBy("group_size"))
-    return marked.select(
+    out = marked.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    return compact(out, rows)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
