@@ -77,6 +77,6 @@ def truthy(value: Column) -> Column:
     return value.isNotNull() & (value != "")
 
 
-def first_of_each(items: Column, key: str) -> Column:
-    """Structs of an array without those whose key occurred before; order stays."""
-    return F.filter(items, lambda x, i: F.array_position(F.transform(items, lambda y: y[key]), x[key]) == i + 1)
+def first_of_each(items: Column, keys: Column, key: str) -> Column:
+    """Structs of an array without those whose key occurred before; order stays. `keys` has the key of each."""
+    return F.filter(items, lambda x, i: F.array_position(keys, x[key]) == i + 1)

@@ -275,8 +275,7 @@ CASE variant WHEN 0 THEN 0.8 WHEN 1 THEN 0.95 WHEN 2 THEN 0.0 ELSE 0.8 END AS co
 CASE variant WHEN 0 THEN 'upi,@ok' WHEN 1 THEN 'phishing,https://,www.' WHEN 2 THEN '' ELSE 'private photo,blackmail' END AS keywords FROM p"""
 )
 def taxonomy(spark, sf_dir):
-    found = K.taxonomy(F.col("text"))
-    rows = _texts(spark, sf_dir).select("id", found.alias("t"))
+    rows = K.with_taxonomy(_texts(spark, sf_dir), F.col("text"), "t")
     return rows.select("id", "t.label", "t.confidence", "t.severity", F.array_join("t.keywords", ",").alias("keywords"))
 
 
