@@ -16,8 +16,10 @@ SPACE_RUN = f"[{SPACE}]+"
 WORD = f"[^{SPACE}]+"
 #: Rows per Arrow batch. Texts may be a hundred times the mean length, so batches are small.
 ARROW_ROWS = 512
-#: Rows that one window frame of `running_start` holds, about.
-FRAME_ROWS = 1024
+#: Frames of `running_start`: rows of one on large inputs, and how many there are at least (with 64 rows each) on smaller ones.
+FRAME_ROWS, FRAMES = 4096, 4096
+#: A key is hot if it holds more than this share of all rows, so at most so many keys are; parts that a hot key is dealt to.
+HOT_KEYS, SALTS = 1000, 64
 #: Rows of a partition that a narrow result is written from, about.
 FILE_ROWS = 250_000
 
@@ -95,11 +97,11 @@ def running_start(df: DataFrame, key: str, order: list[str], value: str, rows: i
     """Adds `start`: for each row of a key, the sum of `value` over the rows before it.
 
     The order is by a hash of `order` and then by `order`. A key may hold most rows, so
-    frames are (key, hash bucket) pairs of about FRAME_ROWS rows; bucket totals are summed
-    in groups of buckets and then over groups, which leaves one row for each million rows
-    to the last window. `df` is read twice: pass a narrow stored table.
+    frames are (key, hash bucket) pairs of at most about FRAME_ROWS rows; bucket totals are summed
+    in groups of buckets and then over groups, which leaves one row for each four million rows
+    to the last window. `df` is read twice: pass a narrow kept table.
     """
-    buckets = max(1, -(-rows // FRAME_ROWS))
+    buckets = max(1, -(-rows // FRAME_ROWS), min(FRAMES, -(-rows // 64)))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("long"))
     before = (Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -113,3 +115,20 @@ def running_start(df: DataFrame, key: str, order: list[str], value: str, rows: i
     groups = groups.withColumn("_far", summed(Window.partitionBy(key).orderBy("_group"))).drop("_v")
     offsets = sums.withColumn("_near", summed(Window.partitionBy(key, "_group").orderBy("_bucket"))).join(groups, [key, "_group"]).select(key, "_bucket", (F.col("_near") + F.col("_far")).alias("_offset"))
     return local.join(offsets, [key, "_bucket"]).withColumn("start", F.col("_local") + F.col("_offset")).drop("_bucket", "_local", "_offset")
+
+
+def join_groups(left: DataFrame, groups: DataFrame, on: list[str], count: str, rows: int, how: str, spread: str) -> DataFrame:
+    """Joins rows with a table that has one row for each key and the number of left rows of that key.
+
+    A key may hold much of the left side. Keys with more than a HOT_KEYS-th of all `rows` (at most
+    HOT_KEYS, so their list is broadcast) are dealt to SALTS parts by a hash of `spread`, and their one
+    row is repeated for each part. `count` is not in the result.
+    """
+    bound = max(1, rows // HOT_KEYS)
+    hot = groups.where(F.col(count) > bound).select(*on, F.lit(True).alias("_hot"))
+    same = [f"_{c}" for c in on]
+    marked = left.join(F.broadcast(hot.toDF(*same, "_hot")), [F.col(a) == F.col(b) for a, b in zip(on, same)], "left").drop(*same)
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    parts = F.when(F.col(count) > bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = groups.withColumn("_salt", F.explode(parts)).drop(count)
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

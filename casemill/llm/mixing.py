@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import documents, running_start, source_key, stash, word_count
+from casemill.llm.common import compact, documents, keep, running_start, source_key, word_count
 
 #: Words of a block, slots of an output shard, unit draws that one generated row expands to.
 BLOCK, SHARD_SLOTS, CHUNK = 128, 4096, 8192
+#: Slots that a task permutes, about.
+TASK_SLOTS = 50_000
 #: Weights by the rank of a source; words of the mix in proportion to all words; most passes over a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Rounds of the swap-or-not permutation.
@@ -62,23 +64,29 @@ def plan(sized: DataFrame) -> DataFrame:
     """One row per source with words: blocks, whole passes, words and slots of the partial pass."""
     sizes = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
     out = targets(sizes).withColumn("words", F.least(F.round("target").cast("long"), MOST * F.col("source_size")))
-    has = out.where("source_size > 0")
-    has = has.withColumn("blocks", F.expr(f"(source_size + {BLOCK - 1}) div {BLOCK}")).withColumn("short", F.expr(f"source_size - (blocks - 1) * {BLOCK}"))
-    has = has.withColumn("full", F.expr("words div source_size")).withColumn("rest", F.expr("words - full * source_size"))
-    has = has.withColumn("last_at", F.expr(_permuted("blocks - 1", "blocks", "skey, full", forward=False)))
+
+    def worded(df: DataFrame, **columns: str) -> DataFrame:
+        """Adds columns that are null for a source without words."""
+        return df.withColumns({name: F.expr(f"if(source_size > 0, {sql}, null)") for name, sql in columns.items()})
+
+    out = worded(out, blocks=f"(source_size + {BLOCK - 1}) div {BLOCK}", full="words div source_size")
+    out = worded(out, short=f"source_size - (blocks - 1) * {BLOCK}", rest="words - full * source_size", last_at=_permuted("blocks - 1", "blocks", "skey, full", forward=False))
     part = f"if(rest <= last_at * {BLOCK}, (rest + {BLOCK - 1}) div {BLOCK}, last_at + 1 + greatest(0, (rest - last_at * {BLOCK} - short + {BLOCK - 1}) div {BLOCK}))"
-    return out.join(has.select("skey", "blocks", "short", "full", "rest", "last_at", F.expr(f"full * blocks + {part}").alias("slots")), "skey", "left")
+    return worded(out, slots=f"full * blocks + {part}")
 
 
 def slots(planned: DataFrame) -> DataFrame:
     """One row per slot of the mix: skey, shard, slot, pass, index (of the block), take (its words)."""
     live = planned.where("slots > 0")
-    shards = live.agg(F.greatest(F.lit(1).cast("long"), F.expr(f"(sum(slots) + {SHARD_SLOTS - 1}) div {SHARD_SLOTS}")).alias("shards"))
-    chunks = live.crossJoin(F.broadcast(shards)).withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).select("skey", "slots", "shards", "_chunk")
-    units = chunks.repartition("skey", "_chunk").select("skey", "shards", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_unit"))
-    drawn = units.groupBy("skey", F.expr("pmod(xxhash64('shard', skey, _unit), shards)").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    total = live.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD_SLOTS))
+    tasks = max(live.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
+    chunks = live.select("skey", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("_chunk"))
+    units = chunks.repartition("skey", "_chunk").select("skey", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_unit"))
+    drawn = units.groupBy("skey", F.expr(f"pmod(xxhash64('shard', skey, _unit), {shards})").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     firsts = drawn.withColumn("_first", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    numbered = firsts.join(live, "skey").withColumn("q", F.explode(F.expr("sequence(_first, _first + n - 1)")))
+    # a row holds a shard's slots of a source; dealt out before they are expanded, as bytes say nothing about that
+    numbered = firsts.join(live, "skey").repartition(tasks, "skey", "shard").withColumn("q", F.explode(F.expr("sequence(_first, _first + n - 1)")))
     placed = numbered.withColumn("pass", F.expr("q div blocks")).withColumn("at", F.expr("q % blocks"))
     placed = placed.withColumn("index", F.expr(_permuted("at", "blocks", "skey, pass")))
     length = f"if(index = blocks - 1, short, {BLOCK})"
@@ -87,8 +95,8 @@ def slots(planned: DataFrame) -> DataFrame:
     return take.select("skey", "shard", F.col("q").alias("slot"), "pass", "index", "take")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces): what the mix takes of each document.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, int]:
+    """(rows, pieces, number of rows): what the mix takes of each document.
 
     rows: one per input row, with id, source, hashed text, size, source_size, target and its
     place (skey, start) in the source's stream. pieces: (skey, start, shard, slot, pass, from, length), the
@@ -96,23 +104,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null source is a source of its own, ranked last; null and blank texts have no words and
     no pieces; rows that repeat others are rows of their own; an empty table gives empty results.
     """
-    sized = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("skey"), F.xxhash64(F.col(text_col)).alias("hashed"), word_count(F.col(text_col)).alias("size")))
-    planned = stash(plan(sized))
-    placed = stash(running_start(sized, "skey", ["id", "hashed", "size"], "size", sized.count()))
+    sized = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("skey"), F.xxhash64(F.col(text_col)).alias("hashed"), word_count(F.col(text_col)).alias("size")))
+    planned = keep(plan(sized))
+    count = sized.count()
+    placed = keep(running_start(sized, "skey", ["id", "hashed", "size"], "size", count))
     cut = placed.where("size > 0").select("skey", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("index"))
     cut = cut.select("skey", "start", "index", F.expr(f"greatest(start, index * {BLOCK})").alias("_from"), F.expr(f"least(start + size, (index + 1) * {BLOCK})").alias("_to"))
     taken = slots(planned).join(cut, ["skey", "index"]).withColumn("_end", F.expr(f"least(_to, index * {BLOCK} + take)")).where("_end > _from")
     pieces = taken.select("skey", "start", "shard", "slot", "pass", F.expr("_from - start").alias("from"), F.expr("_end - _from").alias("length"))
     rows = placed.join(planned.select("skey", "source_size", "target"), "skey")
-    return rows, pieces
+    return rows, pieces, count
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    rows, pieces = mix(documents(spark, sf_dir))
+    rows, pieces, count = mix(documents(spark, sf_dir))
     taken = pieces.groupBy("skey", "start").agg(F.sum("length").alias("taken"))
     worded = rows.where("size > 0").join(taken, ["skey", "start"], "left")
     empty = rows.where("size = 0").withColumn("taken", F.lit(None).cast("long"))
-    return worded.unionByName(empty).select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    out = worded.unionByName(empty).select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return compact(out, count)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -121,13 +131,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document taken whole keeps its text; of one taken in part, the words taken are joined by
     spaces in their order. Columns stay those of `docs`; n_chars follows the text.
     """
-    rows, pieces = mix(docs)
+    rows, pieces, _ = mix(docs)
     runs = pieces.groupBy("skey", "start", "pass").agg(F.sum("length").alias("_words"), F.sort_array(F.collect_list(F.struct("from", "length"))).alias("_runs"))
-    wanted = rows.where("size > 0").join(runs, ["skey", "start"]).select(F.col("id").alias("_id"), F.col("skey").alias("_skey"), F.col("hashed").alias("_hashed"), "_words", "_runs", "size")
+    wanted = rows.where("size > 0").join(runs, ["skey", "start"]).select(F.col("id").alias("_id"), F.col("skey").alias("_skey1"), F.col("hashed").alias("_hashed1"), "start", "_words", "_runs", F.col("size").alias("_size"))
     keyed = docs.withColumn("_skey", source_key(F.col("source"))).withColumn("_hashed", F.xxhash64("text")).withColumn("_id0", F.col("doc_id"))
-    joined = keyed.join(wanted, ["_skey", "_hashed"]).where(F.col("_id0").eqNullSafe(F.col("_id")))
+    same = (F.col("_skey") == F.col("_skey1")) & (F.col("_hashed") == F.col("_hashed1")) & F.col("_id0").eqNullSafe(F.col("_id"))
+    repeated = rows.where("size > 0").groupBy("skey", "hashed", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # rows alike in id, source and text are told apart by number
+        keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_skey", "_hashed", "_id0").orderBy("_id0")))
+        wanted = wanted.withColumn("_nth1", F.dense_rank().over(Window.partitionBy("_skey1", "_hashed1", "_id").orderBy("start")))
+        same = same & (F.col("_nth") == F.col("_nth1"))
+    joined = keyed.join(wanted, same)
     words = F.expr("array_join(flatten(transform(_runs, r -> slice(regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), cast(r.from + 1 as int), cast(r.length as int)))), ' ')")
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(words)
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(words)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -138,6 +138,11 @@ def test_mix_odd_rows(odd, empty):
     sizes = {r.text: len(WORD.findall(r.text or "")) for r in odd.collect()}
     assert all(0 < len(WORD.findall(r.text)) <= max(sizes.values()) for r in mixed.collect())
     assert mixing.mixed_documents(empty).collect() == []
+    taken = Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(WORD.findall(r.text))
+    rows = rows.dropDuplicates(["skey"]).collect()
+    assert all(abs(taken[r.source] - r.target) <= 1 for r in rows)
 
 
 def test_native(spark, sf):
