@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import SPACE_RUN, compact, documents, keep
+from casemill.llm.common import SPACE_RUN, compact, documents, join_groups, keep
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 64
@@ -31,16 +31,18 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lean.select("id", F.length("norm").alias("length"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix"), F.unhex(F.sha2("norm", 256)).alias("digest"))
 
 
-def refine(sigs: DataFrame) -> DataFrame:
+def refine(sigs: DataFrame, rows: int) -> DataFrame:
     """(digest, keep_id, group_size) of each group of two or more equal rows.
 
-    Each level counts with map-side aggregation and passes on by a semi join, which AQE can
-    split where one group of copies holds much of the input.
+    Each level counts with map-side aggregation and passes on by a semi join, in which a
+    group that holds much of the input is dealt to many tasks.
     """
-    by_length = sigs.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length")
-    level_two = sigs.join(by_length, "length", "left_semi")
-    by_prefix = level_two.groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length", "prefix")
-    level_three = level_two.join(by_prefix, ["length", "prefix"], "left_semi")
+
+    def shared(level: DataFrame, *key: str) -> DataFrame:
+        return level.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    level_two = join_groups(sigs, shared(sigs, "length"), ["length"], "n", rows, "left_semi", "id")
+    level_three = join_groups(level_two, shared(level_two, "length", "prefix"), ["length", "prefix"], "n", rows, "left_semi", "id")
     return level_three.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
@@ -53,7 +55,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     sigs = keep(signatures(docs, id_col, text_col))
     rows = sigs.count()
-    marked = sigs.join(refine(sigs), "digest", "left").select(
+    groups = refine(sigs, rows).withColumn("n", F.col("group_size"))
+    marked = join_groups(sigs, groups, ["digest"], "n", rows, "left", "id").select(
         "id",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

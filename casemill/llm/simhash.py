@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import documents, small_batches, stash
+from casemill.llm.common import compact, documents, join_groups, small_batches, stash
 from casemill.llm.components import components
 
 #: Bits of a fingerprint, words of a shingle, seed of XXH64, radius of a link.
@@ -77,12 +77,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     while the component has another. An empty table gives an empty result.
     """
     marked = stash(fingerprints(docs, id_col, text_col, shingle))
-    values = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
+    rows = marked.count()
+    values = marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     roots = components(links(values.select("fp")))
-    placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("values"))
+    named = join_groups(placed, least, ["root"], "values", rows, "inner", "fp").select("fp", "n", "component_id")
+    out = join_groups(marked, named, ["fp"], "n", rows, "inner", "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return compact(out, rows)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,7 +67,7 @@ def test_exact_odd_rows(odd, empty):
 def test_progressive_levels_separate(spark):
     texts = ["a" * 80, "b" * 80, "x" * 70 + "1", "x" * 70 + "2", "x" * 70 + "2", "short"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    found = exact_dedup.refine(exact_dedup.signatures(df)).collect()
+    found = exact_dedup.refine(exact_dedup.signatures(df), len(texts)).collect()
     assert [(r.keep_id, r.group_size) for r in found] == [(3, 2)]
 
 
@@ -135,3 +135,16 @@ def test_running_start(spark):
         for r in sorted((r for r in out if r.k == key), key=lambda r: (r.start, r.v)):
             assert r.start == at
             at += r.v
+
+
+def test_join_groups_with_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from casemill.llm.common import join_groups
+
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).cast("long").alias("k"))
+    groups = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("k < 10000 or k is null")
+    out = join_groups(left, groups, ["k"], "n", 20_000, "left", "id").collect()
+    assert len(out) == 20_000 and all((r.top is None) == (r.k >= 10000) for r in out)
+    assert {r.top for r in out if r.k == 1} == {19_998}
+    assert join_groups(left, groups, ["k"], "n", 20_000, "left_semi", "id").count() == sum(r.k < 10000 for r in out)
