@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,8 +18,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -63,7 +68,7 @@ def token_hits(tokens: Column, words: Sequence[str]) -> Column:
 def best_label(scores: Sequence[tuple[str, Column]]) -> Column:
     """(score, label) of the greatest score; of equal ones the first."""
     ranked = F.array_max(F.array(*(F.struct(score.cast("int").alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (label, score) in enumerate(scores))))
-    return F.struct(ranked["score"].alias("score"), ranked["label"].alias("label"))
+    return let(ranked, lambda r: F.struct(r["score"].alias("score"), r["label"].alias("label")))
 
 
 def longest_contained(lowered: Column, names: Sequence[str], shown=lambda name: name) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import vocab as V
-from casemill.functions.exprs import blank_to_null, contains_any, first_match, longest_contained, strip, truthy, without_commas
+from casemill.functions.exprs import blank_to_null, contains_any, first_match, let, longest_contained, strip, truthy, without_commas
 
 
 def phone(text: Column) -> Column:
@@ -33,11 +33,11 @@ def _bank_shown(name: str) -> str:
 
 
 def bank(text: Column) -> Column:
-    return longest_contained(F.lower(text), V.BANKS, _bank_shown)
+    return let(F.lower(text), lambda low: longest_contained(low, V.BANKS, _bank_shown))
 
 
 def district(text: Column) -> Column:
-    return longest_contained(F.lower(text), V.DISTRICTS)
+    return let(F.lower(text), lambda low: longest_contained(low, V.DISTRICTS))
 
 
 def upi_id(text: Column) -> Column:
@@ -49,7 +49,7 @@ def ifsc(text: Column) -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    return F.when(F.lower(url).startswith("www."), F.concat(F.lit("https://"), url)).otherwise(url)
+    return let(url, lambda u: F.when(F.lower(u).startswith("www."), F.concat(F.lit("https://"), u)).otherwise(u))
 
 
 def url(text: Column) -> Column:
@@ -68,19 +68,25 @@ def ip_address(text: Column) -> Column:
     return first_match(text, V.IP, 0)
 
 
+def _iso(day: Column, month: Column, year: Column) -> Column:
+    full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    return F.concat(F.lpad(full, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+
+
 def numeric_date(text: Column) -> Column:
     """Day, month and year with separators as yyyy-mm-dd; any numbers pass."""
     parts = F.split(first_match(text, V.NUMERIC_DATE, 0), r"[\/\-.]")
-    year = F.when(F.length(parts[2]) == 2, F.concat(F.lit("20"), parts[2])).otherwise(parts[2])
-    return F.when(parts.isNotNull(), F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[0], 2, "0")))
+    return let(parts, lambda p: F.when(p.isNotNull(), _iso(p[0], p[1], p[2])))
 
 
 def named_date(text: Column) -> Column:
-    found = first_match(text, V.NAMED_DATE, 0)
-    day, month, year = (F.regexp_extract(found, V.NAMED_DATE, i) for i in (1, 2, 3))
     months = F.create_map(*(F.lit(x) for pair in V.MONTHS for x in pair))
-    full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    return F.when(found.isNotNull(), F.concat(F.lpad(full, 4, "0"), F.lit("-"), F.element_at(months, F.lower(month)), F.lit("-"), F.lpad(day, 2, "0")))
+
+    def shown(found: Column) -> Column:
+        day, month, year = (F.regexp_extract(found, V.NAMED_DATE, i) for i in (1, 2, 3))
+        return F.when(found != "", _iso(day, F.element_at(months, F.lower(month)), year))
+
+    return let(F.regexp_extract(text, V.NAMED_DATE, 0), shown)
 
 
 def date(text: Column) -> Column:
@@ -89,18 +95,29 @@ def date(text: Column) -> Column:
 
 def time(text: Column) -> Column:
     """The first clock time as 24-hour HH:MM; null if it is out of range."""
-    clock, half = first_match(text, V.CLOCK, 1), F.lower(F.regexp_extract(text, V.CLOCK, 2))
-    parts = F.split(clock, ":")
-    hour, minute = parts[0].try_cast("int"), parts[1].try_cast("int")
-    day_hour = F.when((half == "pm") & (hour >= 1) & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    return F.when((day_hour <= 23) & (minute <= 59), F.format_string("%02d:%02d", day_hour, minute))
+
+    def shown(found: Column) -> Column:
+        half = F.lower(F.regexp_extract(found, V.CLOCK, 2))
+        return let(F.split(F.regexp_extract(found, V.CLOCK, 1), ":"), lambda p: let(_day_hour(p[0].try_cast("int"), half), lambda h: _clock(h, F.get(p, F.lit(1)).try_cast("int"))))
+
+    return let(F.regexp_extract(text, V.CLOCK, 0), shown)
+
+
+def _day_hour(hour: Column, half: Column) -> Column:
+    return F.when((half == "pm") & (hour >= 1) & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+
+
+def _clock(hour: Column, minute: Column) -> Column:
+    return F.when((hour <= 23) & (minute <= 59), F.format_string("%02d:%02d", hour, minute))
 
 
 def suspicious_domain(name: Column) -> Column:
-    d = F.lower(strip(name))
-    tld = reduce(Column.__or__, (d.endswith(t) for t in V.SUSPICIOUS_TLDS))
-    long_name = (F.length(d) >= V.LONG_DOMAIN) & d.contains("-")
-    return F.coalesce(truthy(name) & (tld | contains_any(d, V.SUSPICIOUS_DOMAIN_WORDS) | long_name), F.lit(False))
+
+    def bad(d: Column) -> Column:
+        tld = reduce(Column.__or__, (d.endswith(t) for t in V.SUSPICIOUS_TLDS))
+        return (d != "") & (tld | contains_any(d, V.SUSPICIOUS_DOMAIN_WORDS) | ((F.length(d) >= V.LONG_DOMAIN) & d.contains("-")))
+
+    return F.coalesce(let(F.lower(strip(name)), bad), F.lit(False))
 
 
 #: Address blocks that are not public (private, loopback, link-local, multicast, reserved, documentation),
@@ -118,10 +135,14 @@ def _ip_number(address: str) -> int:
 
 def suspicious_ip(address: Column) -> Column:
     """A public address. Parts with a leading zero make no address."""
-    parts = F.split(address, r"\.")
-    number = reduce(lambda n, i: n * 256 + parts[i].try_cast("long"), range(1, 4), parts[0].try_cast("long"))
-    closed = reduce(Column.__or__, (F.shiftright(number, 32 - bits) == _ip_number(base) >> (32 - bits) for base, bits in _NOT_PUBLIC))
-    return F.coalesce(truthy(address) & ~address.rlike(r"(^|\.)0[0-9]") & (~closed | address.isin(*_PUBLIC_WITHIN)), F.lit(False))
+
+    def public(number: Column) -> Column:
+        closed = reduce(Column.__or__, (F.shiftright(number, 32 - bits) == _ip_number(base) >> (32 - bits) for base, bits in _NOT_PUBLIC))
+        return ~closed | number.isin(*map(_ip_number, _PUBLIC_WITHIN))
+
+    parts = F.transform(F.split(address, r"\."), lambda x: x.try_cast("long"))
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x)
+    return F.coalesce(truthy(address) & ~address.rlike(r"(^|\.)0[0-9]") & let(number, public), F.lit(False))
 
 
 def field_confidence(prefix: str = "") -> Column:
