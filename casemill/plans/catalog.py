@@ -221,7 +221,7 @@ def extract_ip(spark, sf_dir):
     r"""SELECT doc_id, nullif(regexp_extract(text, '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b', 0), '') AS ip_address FROM documents"""
 )
 def document_ips(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = S.documents(spark, sf_dir)
     return docs.select("doc_id", X.ip_address(F.col("text")).alias("ip_address"))
 
 
@@ -310,7 +310,7 @@ def _sql_hits(words) -> str:
     + " END AS domain FROM h"
 )
 def document_domains(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", K.domain_of(F.col("text")).alias("domain"))
+    return S.documents(spark, sf_dir).select("doc_id", K.domain_of(F.col("text")).alias("domain"))
 
 
 @query(
@@ -338,7 +338,7 @@ def ingest_audit(spark, sf_dir):
     """SELECT doc_id, length(regexp_replace(text, '[^ऀ-ॿ]', '', 'g')) AS devanagari, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits FROM documents"""
 )
 def script_counts(spark, sf_dir):
-    counts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", L.script_counts(F.col("text")).alias("s"))
+    counts = S.documents(spark, sf_dir).select("doc_id", L.script_counts(F.col("text")).alias("s"))
     return counts.select("doc_id", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("devanagari", "latin", "digits")))
 
 
@@ -373,7 +373,7 @@ SELECT doc_id, x.l AS language, x.d AS dialect, round(x.c, 6) AS language_confid
 
 @query(_sql_language())
 def language_route(spark, sf_dir):
-    rows = L.detect_language(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    rows = L.detect_language(S.documents(spark, sf_dir))
     return rows.select("doc_id", "language", "dialect", F.round("language_confidence", 6).alias("language_confidence"), L.route(F.col("language"), F.col("dialect")).alias("route"))
 
 
@@ -382,13 +382,13 @@ _DIALECT_TEXT = "concat('Mharo paisa kat gayo, ', user, ' ko koni milyo. ', rupe
 
 @query(_P + "SELECT key AS id, 'Mera paisa kat gaya, ' || user || ' ko nahi milyo. ' || rupees || ' rupaye nahi! tujhee) pucho' AS normalized FROM p")
 def dialect_normalize(spark, sf_dir):
-    rows = _parts(spark, sf_dir)
+    rows = S.text_parts(spark, sf_dir)
     return rows.select(F.col("key").alias("id"), L.normalise_dialect(F.expr(_DIALECT_TEXT)).alias("normalized"))
 
 
 @query(_P + "SELECT key AS id, user || ' said: opened the link. THEN fraud; money was deducted ' || rupees || ' rupees' AS translated, CASE WHEN key % 2 = 0 THEN 'Shared the UPI PIN' ELSE 'not a phrase' END AS cached, CASE WHEN key % 2 = 0 THEN 0.99 ELSE 0.5 END AS cached_confidence FROM p")
 def phrase_translate(spark, sf_dir):
-    rows = _parts(spark, sf_dir)
+    rows = S.text_parts(spark, sf_dir)
     text = F.expr("concat(user, ' said: LINK open kiya. THEN dhokha; Paise kat gaye ', rupees, ' rupiya')")
     cached = L.translate_cached(F.expr("if(key % 2 = 0, ' UPI pin share kiya!', 'not a phrase')"))
     out = rows.select(F.col("key").alias("id"), L.translate_phrases(text).alias("translated"), cached.alias("c"))
@@ -397,7 +397,7 @@ def phrase_translate(spark, sf_dir):
 
 @query(r"""SELECT doc_id, sha256(list_aggregate(list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10))) AS formatted FROM documents WHERE trim(text) <> ''""")
 def english_format(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.trim("text") != "")
+    docs = S.documents(spark, sf_dir).where(F.trim("text") != "")
     return docs.select("doc_id", F.sha2(L.format_english(F.col("text")), 256).alias("formatted"))
 
 
@@ -414,18 +414,12 @@ def reconstruct_text(spark, sf_dir):
 # --- guardrails and quality ---
 
 
-def _parts(spark, sf_dir) -> DataFrame:
-    places = "array(" + ", ".join(f"'{d}'" for d in S._PLACES) + ")"
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.select(*(F.expr(v).alias(k) for k, v in S._parts("STRING", places).items()))
-
-
 @query(
     _P
     + """SELECT key AS id, variant IN (0, 1) AS valid, CASE WHEN variant IN (0, 1) THEN '' WHEN variant = 2 THEN 'Modified validated phone: ' || phone_digits || ' -> 9000000001' ELSE 'Lost validated amount: ' || rupees END AS reason FROM p"""
 )
 def guardrail_validate(spark, sf_dir):
-    rows = _parts(spark, sf_dir)
+    rows = S.text_parts(spark, sf_dir)
     raw = F.expr("concat('Phone ', phone_digits, ' amount Rs ', rupees, ' in HDFC')")
     new = F.expr("CASE variant WHEN 0 THEN concat('HDFC ', rupees, ' Rs, call ', phone_digits) WHEN 1 THEN concat('Phone ', phone_digits, ' amount Rs ', rupees, ' in HDFC utr ', txn_digits) WHEN 2 THEN concat('Phone 9000000001 amount Rs ', rupees, ' in HDFC') ELSE concat('Phone ', phone_digits, ' in HDFC') END")
     both = X.extract_fields(X.extract_fields(rows.withColumns({"raw": raw, "new": new}), "raw", "raw_", V.STRICT_KEYS), "new", "new_", V.STRICT_KEYS)
@@ -438,7 +432,7 @@ def guardrail_validate(spark, sf_dir):
 CASE WHEN variant = 0 THEN 1.0 ELSE 0.5 END AS preservation_rate, CASE WHEN variant = 0 THEN 'Rs ' || rupees || ', ' ELSE '' END || 'Phone ' || phone_digits || CASE WHEN variant = 0 THEN '' ELSE chr(10) || chr(10) || '--- Verified Ingestion Telemetry ---' || chr(10) || '- [Verified Financial Amount]: ' || rupees END AS restored FROM p"""
 )
 def entity_audit(spark, sf_dir):
-    rows = _parts(spark, sf_dir).withColumn("raw", F.expr("concat('Rs ', rupees, ', Phone ', phone_digits)"))
+    rows = S.text_parts(spark, sf_dir).withColumn("raw", F.expr("concat('Rs ', rupees, ', Phone ', phone_digits)"))
     rows = X.extract_fields(rows, "raw").withColumn("out", F.expr("if(variant = 0, raw, concat('Phone ', phone_digits))"))
     rows = rows.withColumn("a", Q.entity_audit(F.col("out"))).withColumn("restored", Q.restore_entities(F.col("out"), F.col("a")))
     return rows.select(F.col("key").alias("id"), "a.status", "a.total_entities", "a.preserved_entities", "a.preservation_rate", "restored")
@@ -450,7 +444,7 @@ def entity_audit(spark, sf_dir):
 CASE WHEN variant = 2 THEN 0.0 ELSE 100.0 END AS field_preservation_rate FROM p"""
 )
 def quality_metrics(spark, sf_dir):
-    rows = _parts(spark, sf_dir).withColumn("raw", F.expr("concat('Phone ', phone_digits, ' polce')"))
+    rows = S.text_parts(spark, sf_dir).withColumn("raw", F.expr("concat('Phone ', phone_digits, ' polce')"))
     rows = rows.withColumn("final", F.expr("CASE variant WHEN 0 THEN raw WHEN 1 THEN concat('police complaint. Phone ', phone_digits) WHEN 2 THEN 'police has no phone' ELSE concat('Rs 500 police ', phone_digits) END"))
     rows = X.extract_fields(X.extract_fields(rows, "raw", "raw_", V.MONITORED), "final", "final_", V.MONITORED)
     b = rows.select(F.col("key").alias("id"), Q.benchmarks(F.col("raw"), F.col("final"), "raw_", "final_").alias("b"))
@@ -464,7 +458,7 @@ SELECT doc_id, round_even(c * 0.2::DOUBLE, 4) AS recovery, round_even(latin / n,
   concat_ws(',', 'devanagari_recovery_too_low_for_translation', CASE WHEN doc_id % 2 = 0 THEN 'expected_devanagari_but_ocr_produced_latin_garbage' END, CASE WHEN c < 0.6 THEN 'low_ocr_confidence' END, CASE WHEN doc_id % 3 = 0 THEN 'unstable_script_detection' END) AS reasons FROM t WHERE c * 0.2 < 0.15"""
 )
 def review_gate(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("c", (F.col("doc_id") % 10) / F.lit(10.0))
+    docs = S.documents(spark, sf_dir).withColumn("c", (F.col("doc_id") % 10) / F.lit(10.0))
     rows = docs.withColumn("r", Q.devanagari_recovery(F.col("text"), F.col("c"))).where(F.col("c") * 0.2 < 0.15)
     gate = Q.review_gate(F.col("r"), F.when(F.col("doc_id") % 2 == 0, "devanagari").otherwise("mixed"), F.when(F.col("doc_id") % 3 == 0, 0.2).otherwise(0.9), F.col("c"))
     return rows.select("doc_id", F.col("r.devanagari_recovery_score").alias("recovery"), "r.latin_ratio", half_even(Q.line_score(F.col("text"), F.col("c")), 6).alias("line_score"), F.array_join(gate["review_reasons"], ",").alias("reasons"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions.vocab import QUERY_DISTRICTS
+from casemill.sources.tables import spread
 
 BANKS = (None, "", "State Bank Of India", "HDFC", "Canara Bank", "SBI", "ICICI", "Axis Bank")
 CRIMES = (("1-URGENT", "Financial Fraud"), ("2-HIGH", "Phishing"), ("3-MEDIUM", "Hacking"), ("4-NOT SPECIFIED", "Harassment"), ("5-LOW", "Identity Theft"))
@@ -97,13 +98,22 @@ _TEXTS = (
 )
 
 
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the texts are made of, a row for each order."""
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey")
+    places = "array(" + ", ".join(f"'{d}'" for d in _PLACES) + ")"
+    return orders.select(*(F.expr(v).alias(k) for k, v in _parts("STRING", places).items()))
+
+
 def complaint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as complaint texts in four variants that embed known values: id, text, station_name."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    places = "array(" + ", ".join(f"'{d}'" for d in _PLACES) + ")"
-    parts = orders.select(*(F.expr(v).alias(k) for k, v in _parts("STRING", places).items()))
     text = F.expr("CASE variant " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_TEXTS)) + " END")
-    return parts.select(F.col("key").alias("id"), "variant", text.alias("text"), F.lit(None).cast("string").alias("station_name"))
+    return text_parts(spark, sf_dir).select(F.col("key").alias("id"), "variant", text.alias("text"), F.lit(None).cast("string").alias("station_name"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids and texts."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 #: Recognition logs: conversations stand in for pages of a document, events for runs.

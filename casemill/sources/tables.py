@@ -20,6 +20,12 @@ def scan(spark: SparkSession, path: str, schema: StructType | None = None) -> Da
     return reader.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small scan dealt to every core before costly projections; one with enough partitions stays as it is."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.toJavaRDD().getNumPartitions() >= wanted else df.repartition(wanted, key)
+
+
 def lookup(df: DataFrame, key: int, id_col: str = "id") -> DataFrame:
     """The row with that id or none; the filter reaches the scan."""
     return df.where(F.col(id_col) == key).limit(1)

@@ -79,7 +79,9 @@ def test_plans(spark, sf):
     similar = plan_of(catalog.QUERIES["similar"](spark, sf))
     assert "BroadcastNestedLoopJoin" in similar and "CartesianProduct" not in similar and "TakeOrderedAndProject" in similar
     assert "TakeOrderedAndProject" in plan_of(catalog.QUERIES["nl_cases"](spark, sf))
-    extraction = plan_of(ingest.complaint_rows(adapters.complaint_texts(spark, sf), F.lit(catalog.NOW)))
+    requests = spark.createDataFrame([(t, None) for t in TEXTS], "text string, station_name string")
+    extraction = plan_of(ingest.complaint_rows(requests, F.lit(catalog.NOW)))
+    assert adapters.complaint_texts(spark, sf).rdd.getNumPartitions() == 4
     assert "Python" not in extraction and "Exchange" not in extraction
     totals = plan_of(catalog.QUERIES["top_crimes"](spark, sf))
     assert "partial_count" in totals
