@@ -550,3 +550,150 @@ def coerce_fields(spark, sf_dir):
     )
     out = coerce(rows)
     return out.select("event_id", F.col("severity").cast("long").alias("severity"), "crime_type", "suspicious_ip", "taxonomy_confidence", "ocr_confidence", F.size("upi_ids").alias("n_upi"), F.get("upi_ids", F.lit(0)).alias("first_upi"))
+
+
+# --- thresholds, gates and small transforms ---
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+@query("SELECT event_id, CASE WHEN value / 100 < 0.70 THEN 'LOW' WHEN value / 100 >= 0.85 THEN 'HIGH' ELSE 'BALANCED' END AS band FROM events")
+def confidence_bands(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", K.confidence_band(F.col("value") / 100).alias("band"))
+
+
+@query("SELECT event_id, CASE WHEN value * 20 < 50 THEN 'denoise-heavy' WHEN event_id % 100 < 35 THEN 'contrast-heavy' WHEN event_id % 100 > 70 AND value * 20 > 1000 THEN 'otsu' ELSE 'adaptive' END AS profile FROM events")
+def recommended_profiles(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", Y.recommended_profile(F.col("value") * 20, F.col("event_id") % 100).alias("profile"))
+
+
+@query(
+    """SELECT event_id, (event_id % 5) * 1048576 >= 3 * 1048576 OR value * 300 >= 15000 OR user_id % 100 >= 85 AS enabled,
+concat_ws('; ', CASE WHEN event_id % 5 >= 3 THEN 'large_file=' || (event_id % 5) || '.00MB' END, CASE WHEN value * 300 >= 15000 THEN 'slow_ocr' END, CASE WHEN user_id % 100 >= 85 THEN 'high_memory_pressure=' || (user_id % 100) || '.0%' END) AS reason FROM events"""
+)
+def lightweight_mode(spark, sf_dir):
+    mode = Q.lightweight_mode((F.col("event_id") % 5) * 1048576, F.col("value") * 300, (F.col("user_id") % 100).cast("double"), F.lit(8.0))
+    rows = _events(spark, sf_dir).select("event_id", mode.alias("m"))
+    return rows.select("event_id", "m.enabled", F.regexp_replace("m.reason", r"slow_ocr=\d+ms", "slow_ocr").alias("reason"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'paragraph' WHEN value / 100 > 0.7 AND (user_id % 10 = 1 OR user_id % 10 = 0 AND event_id % 4 <> 1) AND event_id % 17 < 15 THEN 'signature'
+WHEN user_id % 10 >= 4 AND event_id % 4 = 1 THEN 'stamp' WHEN value / 100 < 0.15 AND event_id % 3 = 0 THEN 'header' ELSE 'paragraph' END AS type FROM events"""
+)
+def region_types(spark, sf_dir):
+    """Density a tenth of the user's last digit; regions are square in one of four rows, else three times as wide as high."""
+    aspect = F.when(F.col("event_id") % 4 == 1, 1.0).otherwise(3.0)
+    wide = F.when(F.col("user_id") % 10 == 1, 3.0).otherwise(aspect)
+    found = Y.region_type(F.col("value") / 100, (F.col("user_id") % 10) / F.lit(10.0), wide, F.col("event_id") % 17, F.lit(200), F.when(F.col("event_id") % 3 == 0, 0.05).otherwise(0.5))
+    return _events(spark, sf_dir).select("event_id", found["type"].alias("type"))
+
+
+@query(
+    """SELECT event_id, CASE event_type WHEN 'error' THEN 'Hacking' WHEN 'click' THEN 'Phishing' ELSE 'Unknown' END AS crime_type,
+CASE WHEN event_id % 3 = 0 THEN 4 ELSE CAST(greatest(1, least(10, event_id % 13)) AS INT) END AS severity, CASE WHEN event_id % 2 = 0 THEN 'No summary generated' ELSE 'seen ' || user_id END AS summary FROM events"""
+)
+def model_answers(spark, sf_dir):
+    """Answers as a model gives them: fenced, wrapped in prose, with words in the place of numbers."""
+    kind = F.when(F.col("event_type") == "error", "hacking").when(F.col("event_type") == "click", " PHISHING ").otherwise("alien")
+    severity = F.when(F.col("event_id") % 3 == 0, F.lit("high")).otherwise(F.concat((F.col("event_id") % 13).cast("string"), F.lit(".9")))
+    summary = F.when(F.col("event_id") % 2 == 0, F.lit("N/A")).otherwise(F.concat(F.lit("seen "), F.col("user_id").cast("string")))
+    body = F.to_json(F.struct(kind.alias("crime_type"), severity.alias("severity"), summary.alias("summary")))
+    answer = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("event_id") % 5 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).otherwise(body)
+    rows = _events(spark, sf_dir).select("event_id", K.normalise_model(K.parse_model_json(answer)).alias("n"))
+    return rows.select("event_id", "n.crime_type", "n.severity", "n.summary")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
+SELECT doc_id, round_even((contains(t, 'the')::INT + contains(t, 'de la')::INT + contains(t, 'und')::INT) / 3.0::DOUBLE, 4) AS rate FROM t""".replace("\\\\", "\\")
+)
+def token_recovery(spark, sf_dir):
+    expected = F.array(F.lit("THE"), F.lit("de  la"), F.lit("und "))
+    return S.documents(spark, sf_dir).select("doc_id", Q.token_recovery(F.col("text"), expected)["rate"].alias("rate"))
+
+
+@query(
+    """SELECT key AS id, concat_ws(',', CASE WHEN key % 2 = 0 THEN 'language_misclassification' END, CASE WHEN key % 3 = 0 THEN 'dialect_misclassification' END,
+CASE WHEN key % 5 = 0 THEN 'routing_misclassification' END, CASE WHEN key % 7 = 0 THEN 'entity_loss:' || phone_digits END, CASE WHEN key % 11 = 0 THEN 'hallucination_threshold_exceeded' END) AS reasons FROM """
+    + S.PARTS_SQL.replace("p AS ", "", 1)
+)
+def case_failures(spark, sf_dir):
+    rows = S.text_parts(spark, sf_dir)
+    off = lambda n, bad, good: F.when(F.col("key") % n == 0, bad).otherwise(good)
+    meta = {"language": off(2, "English", "Hinglish"), "dialect": off(3, "Standard English", "Romanized Marwari"), "route": off(5, "x", "y"), "text": off(7, F.lit(""), F.col("phone_digits")), "hallucination_rate": off(11, 20.0, 0.0)}
+    expected = {"language": F.lit("Hinglish"), "dialect_contains": F.lit("Marwari"), "route": F.lit("y"), "must_preserve": F.array("phone_digits")}
+    return rows.select(F.col("key").alias("id"), F.array_join(Q.case_failures(meta, expected), ",").alias("reasons"))
+
+
+@query(
+    """SELECT trace_id, string_agg(stage || '=' || CAST(CAST(ms AS DECIMAL(12, 2)) AS VARCHAR), ',' ORDER BY stage) AS stages
+FROM (SELECT user_id AS trace_id, event_type AS stage, round_even(max(value), 2) AS ms FROM events GROUP BY 1, 2) GROUP BY 1"""
+)
+def stage_profile(spark, sf_dir):
+    rows = _events(spark, sf_dir).groupBy(F.col("user_id").alias("trace_id"), F.col("event_type").alias("stage")).agg(F.max("value").alias("duration_ms"))
+    entries = F.sort_array(F.map_entries("stage_timings"))
+    shown = F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(12,2)").cast("string")))
+    return E.stage_profile(rows).select("trace_id", F.array_join(shown, ",").alias("stages"))
+
+
+@query(_with(S.AUDIT_SQL) + "SELECT id, event_type, request_received_at, details FROM audit WHERE complaint_id = 8 ORDER BY request_received_at DESC, id LIMIT 50")
+def one_case_audit(spark, sf_dir):
+    return A.case_audit(S.audit(spark, sf_dir), 8).select("id", "event_type", "request_received_at", "details")
+
+
+@query(
+    _P
+    + """SELECT key AS id, round(CASE variant WHEN 1 THEN CASE WHEN private THEN (8 * 0.95::DOUBLE + 0.7::DOUBLE) / 9 ELSE (8 * 0.95::DOUBLE + 2 * 0.7::DOUBLE) / 10 END WHEN 3 THEN 0.9375::DOUBLE ELSE 0.95::DOUBLE END, 6) AS confidence FROM p"""
+)
+def populated_confidence(spark, sf_dir):
+    rows = ingest.extract(_texts(spark, sf_dir))
+    return rows.select("id", F.round(Q.populated_confidence(F.col("field_confidence"), F.lit(0.0)), 6).alias("confidence"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, concat_ws(' ', CAST(l_partkey // 2 AS VARCHAR), CAST(l_suppkey // 2 AS VARCHAR), CAST((l_partkey + 40) // 2 AS VARCHAR), CAST((l_suppkey + 20) // 2 AS VARCHAR)) AS corners,
+CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END AS blocks FROM lineitem"""
+)
+def recognised_blocks(spark, sf_dir):
+    """Boxes given as corners, brought back to the page's scale; blank texts make no block."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    box = F.array(*(c.cast("double") for c in (F.col("l_partkey"), F.col("l_suppkey"), F.col("l_partkey") + 40, F.col("l_suppkey") + 20)))
+    found = Y.parse_blocks(F.array(F.when(F.col("l_linenumber") % 3 == 0, " ").otherwise("word")), F.array(F.lit(0.5)), F.array(box), F.lit(2.0))
+    first = Y.scaled_box(box, F.lit(2.0))
+    corners = F.concat_ws(" ", *(first[i][j].cast("string") for i, j in ((0, 0), (0, 1), (2, 0), (2, 1))))
+    return lines.select("l_orderkey", "l_linenumber", corners.alias("corners"), F.size(found).alias("blocks"))
+
+
+@query(
+    """SELECT event_id, value / 100 < 0.6 AS uncertain, value / 100 < 0.75 AS officer_review, event_id % 3 < 2 AND value / 100 < 0.15 AS blocked FROM events"""
+)
+def line_gates(spark, sf_dir):
+    share = F.col("value") / 100
+    script = F.when(F.col("event_id") % 3 == 0, "devanagari").when(F.col("event_id") % 3 == 1, "mixed").otherwise("latin")
+    blocked = Q.translation_blocked(script, F.struct(share.alias("devanagari_recovery_score")))
+    return _events(spark, sf_dir).select("event_id", Q.line_gate(share).alias("g"), blocked.alias("blocked")).select("event_id", "g.uncertain", "g.officer_review", "blocked")
+
+
+@query(
+    "SELECT 'SELECT * FROM complaints WHERE crime_type = ''Financial Fraud'' AND bank ILIKE ''%SBI%'' AND CAST(amount AS FLOAT) >= 50000.0 AND created_at >= ''1996-02-09T00:00:00''' AS explained, 50 AS row_limit, false AS district_wise"
+)
+def nl_explain(spark, sf_dir):
+    plan = nlquery.parse(QUESTION, NOW)
+    return spark.range(1).select(F.lit(plan.explain()).alias("explained"), F.lit(plan.limit).alias("row_limit"), F.lit(plan.district_wise).alias("district_wise"))
+
+
+@query(_P + "SELECT key AS id, CASE variant WHEN 0 THEN '0.0,0.9,0.9' WHEN 1 THEN '0.9,0.0,0.9' WHEN 2 THEN '0.0,0.9,0.0' ELSE '0.0,0.9,0.0' END AS confidences FROM p")
+def context_confidence(spark, sf_dir):
+    """Confidences of URLs, amount and date of the contextual pass."""
+    from casemill.operators.entities import context_confidence as found
+
+    rows = extract_entities(_texts(spark, sf_dir)).select("id", found().alias("c"))
+    return rows.select("id", F.concat_ws(",", *(F.col("c")[k].cast("string") for k in ("urls", "amount", "date"))).alias("confidences"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS cleaned FROM documents")
+def clean_texts(spark, sf_dir):
+    return S.documents(spark, sf_dir).select("doc_id", F.sha2(L.clean_ocr_text(F.col("text")), 256).alias("cleaned"))
