@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import documents
+from casemill.llm.common import compact, documents
 from casemill.llm.licence_texts import KNOWN
 
 #: Up to this many known texts are broadcast (a digest and a name each); more are joined by shuffling digests.
@@ -78,7 +78,8 @@ def scan_documents(docs: DataFrame, known: DataFrame, known_rows: int, id_col: s
 
 
 def op10_licences(spark, sf_dir: str) -> DataFrame:
-    return scan_documents(documents(spark, sf_dir), known_digests(spark), len(KNOWN))
+    docs = documents(spark, sf_dir)
+    return compact(scan_documents(docs, known_digests(spark), len(KNOWN)), docs.count())
 
 
 def _sql_canonical(text: str) -> str:
