@@ -106,6 +106,36 @@ def script_decision(devanagari: Column, latin: Column, numeric: Column) -> Colum
     return F.when(digits, shape("mixed", F.greatest(first["confidence"], numeric))).otherwise(first)
 
 
+def script_scores(f) -> tuple[Column, Column, Column]:
+    """(devanagari, latin, numeric) scores of 0 to 1 from a page's measures, given by name."""
+    one = F.lit(1.0)
+    cut = lambda c: F.least(one, F.greatest(F.lit(0.0), c))
+    top = lambda c: F.least(one, c)
+    devanagari = (
+        f["headline"] * 0.35 + top(f["valley_depth"] * 2.0) * 0.15 + top(f["mid_density"] * 1.5) * 0.10 + (1.0 - top(f["circularity"] * 2.0)) * 0.10
+        + top(f["height_std"] / 20.0) * 0.10 - top(f["tall_ratio"]) * 0.05 + top(f["aspect_mean"] * 0.5) * 0.10 + f["grid_density"] * 0.05
+    )
+    latin = (
+        top(f["tall_ratio"] * 2.0) * 0.20 + f["circularity"] * 0.20 + (1.0 - f["headline"]) * 0.20 + (1.0 - f["mid_density"]) * 0.10
+        + top(f["complexity"] * 0.5) * 0.15 + top(f["width_std"] / 30.0) * 0.15
+    )
+    return cut(devanagari), cut(latin), cut(f["numeric_density"] * 2.0)
+
+
+def normal_pages(results: DataFrame) -> DataFrame:
+    """Engines' page results with every column that later steps read: text under either name, confidence under either, lists never null."""
+    has = lambda name: F.col(name) if name in results.columns else F.lit(None)
+    text = F.coalesce(F.when(has("raw_text") != "", has("raw_text")), has("text"), F.lit(""))
+    confidence = F.coalesce(has("confidence").try_cast("double"), has("ocr_confidence").try_cast("double"), F.lit(0.0))
+    lists = {c: F.coalesce(has(c).cast(PAGES[c].dataType), F.array().cast(PAGES[c].dataType)) for c in ("line_results", "uncertain_regions")}
+    engine = F.coalesce(has("source_engine").cast("string"), F.lit("unknown"))
+    usage = F.coalesce(has("engine_usage").cast(PAGES["engine_usage"].dataType), F.create_map(engine, F.lit(1)))
+    return results.select(
+        F.col("document").cast("string").alias("document"), F.col("page").cast("int").alias("page"), text.alias("raw_text"), confidence.alias("confidence"),
+        F.coalesce(has("processing_time_ms").try_cast("double"), F.lit(0.0)).alias("processing_time_ms"), engine.alias("source_engine"), usage.alias("engine_usage"), *(v.alias(k) for k, v in lists.items()),
+    )
+
+
 def region_type(rel_y: Column, density: Column, aspect: Column, contours: Column, largest_area: Column, height_share: Column) -> Column:
     """(type, confidence) of a region from its measures."""
     shape = lambda s, c: F.struct(F.lit(s).alias("type"), F.lit(c).alias("confidence"))

@@ -697,3 +697,62 @@ def context_confidence(spark, sf_dir):
 @query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS cleaned FROM documents")
 def clean_texts(spark, sf_dir):
     return S.documents(spark, sf_dir).select("doc_id", F.sha2(L.clean_ocr_text(F.col("text")), 256).alias("cleaned"))
+
+
+@query(
+    """WITH f AS (SELECT event_id, value / 100 AS a, (event_id % 100) / 100.0::DOUBLE AS b, (user_id % 10) / 10.0::DOUBLE AS c FROM events),
+s AS (SELECT event_id, a * 0.35::DOUBLE + least(1, b * 2) * 0.15::DOUBLE + least(1, c * 1.5) * 0.1::DOUBLE + (1 - least(1, a * 2)) * 0.1::DOUBLE + least(1, b * 40 / 20) * 0.1::DOUBLE - least(1, c) * 0.05::DOUBLE + least(1, a * 0.5) * 0.1::DOUBLE + b * 0.05::DOUBLE AS d,
+  least(1, c * 2) * 0.2::DOUBLE + a * 0.2::DOUBLE + (1 - a) * 0.2::DOUBLE + (1 - c) * 0.1::DOUBLE + least(1, b * 0.5) * 0.15::DOUBLE + least(1, a * 40 / 30) * 0.15::DOUBLE AS l FROM f)
+SELECT event_id, round(greatest(0, least(1, d)), 6) AS devanagari, round(greatest(0, least(1, l)), 6) AS latin FROM s"""
+)
+def script_scores(spark, sf_dir):
+    a, b, c = F.col("value") / 100, (F.col("event_id") % 100) / F.lit(100.0), (F.col("user_id") % 10) / F.lit(10.0)
+    measures = {"headline": a, "valley_depth": b, "mid_density": c, "circularity": a, "height_std": b * 40, "tall_ratio": c, "aspect_mean": a, "grid_density": b, "complexity": b, "width_std": a * 40, "numeric_density": c}
+    devanagari, latin, _ = Y.script_scores(measures)
+    return _events(spark, sf_dir).select("event_id", F.round(devanagari, 6).alias("devanagari"), F.round(latin, 6).alias("latin"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 8 WHEN 5 THEN '' WHEN 6 THEN 'no json' ELSE 'user ' || user_id END AS text, CASE event_id % 8 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 3 THEN 0.25 ELSE 0.0 END AS confidence FROM events"""
+)
+def model_responses(spark, sf_dir):
+    """Answers of services in eight shapes."""
+    shapes = (
+        '{"confidence": 0.5, "output": " user %d\\r\\n"}', '{"score": 7, "response": "", "text": "user %d"}', '{"confidence": "high", "predictions": [{"content": "user %d"}]}', '{"certainty": 0.25, "predictions": ["user %d"]}',
+        '{"choices": [{"message": {"role": "x"}, "content": "user %d"}]}', '{"output": 7, "x": %d}', "no json", '"user %d"',
+    )
+    body = F.element_at(F.array(*(F.format_string(x, F.col("user_id")) if "%d" in x else F.lit(x) for x in shapes)), (F.col("event_id") % 8 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", reconstruct.response_text(body).alias("r")).select("event_id", "r.text", "r.confidence")
+
+
+@query(
+    _P
+    + """SELECT key AS id, CASE WHEN key % 3 = 0 THEN 'Mharo ' || user WHEN key % 3 = 1 THEN 'Mera ' || user ELSE 'model' END AS text, CASE WHEN key % 3 = 0 THEN 1.0 WHEN key % 3 = 1 THEN 0.65 ELSE 0.9 END AS confidence FROM p"""
+)
+def dialect_with_model(spark, sf_dir):
+    """English passes, and a model that answers some of the rest."""
+    rows = S.text_parts(spark, sf_dir)
+    dialect = F.when(F.col("key") % 3 == 0, "Standard English").otherwise("Romanized Marwari")
+    answer = lambda prompt: F.when((F.col("key") % 3 == 2) & prompt.contains("Mera"), " model ")
+    found = reconstruct.normalise_with_model(F.concat(F.lit("Mharo "), "user"), dialect, answer)
+    return rows.select(F.col("key").alias("id"), found.alias("f")).select("id", "f.text", "f.confidence")
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN sha256(text) ELSE sha256('from text') END AS text_sha, CASE turn % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 0.25 END AS confidence, 0 AS n_lines FROM conversations"""
+)
+def normal_pages(spark, sf_dir):
+    """Page results as engines leave them: either name of the text and the confidence, no lists."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    odd = F.col("turn") % 3
+    rows = turns.select(
+        "conv_id", "turn", F.col("conv_id").alias("document"), F.col("turn").alias("page"), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("").alias("raw_text"), F.lit("from text").alias("text"),
+        F.when(odd == 1, "0.5").when(odd == 0, "bad").alias("confidence"), F.when(odd == 2, "0.25").alias("ocr_confidence"),
+    )
+    out = Y.normal_pages(rows)
+    return out.select(F.col("document").cast("long").alias("conv_id"), F.col("page").cast("long").alias("turn"), F.sha2("raw_text", 256).alias("text_sha"), "confidence", F.size("line_results").alias("n_lines"))
+
+
+@query(_P + """SELECT key AS id, '{"model":"m","prompt":"' || user || '","stream":false,"options":{"temperature":0.0,"num_predict":1024}}' AS request FROM p""")
+def model_requests(spark, sf_dir):
+    return S.text_parts(spark, sf_dir).select(F.col("key").alias("id"), reconstruct.model_request("m", F.col("user")).alias("request"))
