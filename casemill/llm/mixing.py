@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import compact, documents, keep, running_start, source_key, word_count
+from casemill.llm.common import compact, documents, join_groups, keep, running_start, source_key, word_count
 
 #: Words of a block, slots of an output shard, unit draws that one generated row expands to.
 BLOCK, SHARD_SLOTS, CHUNK = 128, 4096, 8192
@@ -62,7 +62,7 @@ def _permuted(index: str, size: str, key: str, forward: bool = True) -> str:
 
 def plan(sized: DataFrame) -> DataFrame:
     """One row per source with words: blocks, whole passes, words and slots of the partial pass."""
-    sizes = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
+    sizes = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     out = targets(sizes).withColumn("words", F.least(F.round("target").cast("long"), MOST * F.col("source_size")))
 
     def worded(df: DataFrame, **columns: str) -> DataFrame:
@@ -82,7 +82,7 @@ def slots(planned: DataFrame) -> DataFrame:
     shards = max(1, -(-total // SHARD_SLOTS))
     tasks = max(live.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
     chunks = live.select("skey", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("_chunk"))
-    units = chunks.repartition("skey", "_chunk").select("skey", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_unit"))
+    units = chunks.repartition(tasks, "skey", "_chunk").select("skey", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_unit"))
     drawn = units.groupBy("skey", F.expr(f"pmod(xxhash64('shard', skey, _unit), {shards})").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     firsts = drawn.withColumn("_first", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     # a row holds a shard's slots of a source; dealt out before they are expanded, as bytes say nothing about that
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = cut.select("skey", "start", "index", F.expr(f"greatest(start, index * {BLOCK})").alias("_from"), F.expr(f"least(start + size, (index + 1) * {BLOCK})").alias("_to"))
     taken = slots(planned).join(cut, ["skey", "index"]).withColumn("_end", F.expr(f"least(_to, index * {BLOCK} + take)")).where("_end > _from")
     pieces = taken.select("skey", "start", "shard", "slot", "pass", F.expr("_from - start").alias("from"), F.expr("_end - _from").alias("length"))
-    rows = placed.join(planned.select("skey", "source_size", "target"), "skey")
+    rows = join_groups(placed, planned.select("skey", "source_size", "target", "source_rows"), ["skey"], "source_rows", count, "inner", "start")
     return rows, pieces, count
 
 
