@@ -23,6 +23,8 @@ ARROW_ROWS = 512
 FRAME_ROWS, FRAMES = 4096, 4096
 #: A key is hot if it holds more than this share of all rows, so at most so many keys are; parts that a hot key is dealt to.
 HOT_KEYS, SALTS = 1000, 64
+
+_kept: list[DataFrame] = []
 #: Rows of a partition that a narrow result is written from, about.
 FILE_ROWS = 250_000
 
@@ -73,7 +75,14 @@ def keep(df: DataFrame) -> DataFrame:
     Lineage stays: what a lost executor held is computed again from the input. For narrow
     frames that are cheap to compute again; loops and stages use `stash`.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def release() -> None:
+    """Gives back what `keep` holds. Results that still need a frame compute it again."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def compact(df: DataFrame, rows: int) -> DataFrame:

@@ -148,3 +148,17 @@ def test_join_groups_with_hot_keys(spark):
     assert len(out) == 20_000 and all((r.top is None) == (r.k >= 10000) for r in out)
     assert {r.top for r in out if r.k == 1} == {19_998}
     assert join_groups(left, groups, ["k"], "n", 20_000, "left_semi", "id").count() == sum(r.k < 10000 for r in out)
+
+
+def test_results_outlive_released_frames(spark, docs):
+    from casemill.llm.common import release
+
+    out = exact_dedup.exact_dedup(docs)
+    release()
+    assert out.count() == docs.count()
+
+
+def test_lost_blocks_are_computed_again(spark, docs):
+    out = simhash.simhash_groups(docs)
+    spark.catalog.clearCache()
+    assert out.count() == docs.count()

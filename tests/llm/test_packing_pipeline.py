@@ -136,3 +136,8 @@ def test_pipeline_odd_rows(spark, odd, empty):
             if name != "language":
                 current = out
         assert (current.count() > 0) == (start is odd)
+
+
+def test_run_gives_the_stages_result(spark, sf):
+    rows = corpus_pipeline.run(spark, sf)
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
