@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from casemill.llm.common import compact, documents, join_groups, small_batches, stash
 from casemill.llm.components import components
+from casemill.llm.minhash import keep_one  # noqa: F401
 
 #: Bits of a fingerprint, words of a shingle, seed of XXH64, radius of a link.
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 2
@@ -87,13 +88,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return compact(out, rows)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is their component's: one document of each group."""
-    groups = simhash_groups(docs, id_col, text_col)
-    dropped = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
-
-
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
