@@ -31,7 +31,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 AUTHORITY = re.compile(r"[^\x00-\x20\"<>\\^`{|}]++")
-VALUE = re.compile(r"[A-Za-z0-9_]*[ \t]{0,3}(?:[:=#]|no\.?|number|is)?[ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_/+-]*+)", re.IGNORECASE)
+#: From a cue to its value: the rest of its word, a closing quote, up to three separators, an opening quote.
+LEAD = re.compile(r"[A-Za-z0-9_]*[\"']?(?:[ \t]{0,3}(?:[:=#]|(?:no|nr|num|number|is)(?![A-Za-z])\.?)){0,3}[ \t]{0,3}[\"']?", re.IGNORECASE)
+VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+-]*+")
+#: Values of SECRETS behind a colon, an equals sign or a quote may hold symbols.
+SECRETS = frozenset(CUES[:8])
+SECRET = re.compile(r"[^\x00-\x20\"'<>,;]++")
+#: Values of the other cues may be written in groups: an IBAN, or groups of two to four digits.
+GROUPED = re.compile(
+    r"[A-Z]{2}[0-9]{2}(?:[ -](?:(?=[A-Z]{0,3}[0-9])[A-Z0-9]{1,4}|[A-Z]{4}(?=[ -][A-Z]{0,3}[0-9]))(?![A-Za-z0-9]))++"
+    r"|[0-9]{2,4}(?:[ -][0-9]{2,4}(?![A-Za-z0-9]))++"
+)
 
 
 def luhn(digits: str) -> bool:
@@ -63,6 +73,20 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def value(text: str, at: int, end: int) -> tuple[int, int] | None:
+    """Place of the value of the cue at text[at:end]: the longest of the forms that its cue allows."""
+    lead = LEAD.match(text, end)
+    start, ends = lead.end(), []
+    if m := VALUE.match(text, start):
+        ends.append(m.end())
+    if text[at:end].lower() in SECRETS:
+        if any(c in lead[0] for c in ":=\"'") and (m := SECRET.match(text, start)):
+            ends.append(start + len(m[0].rstrip(".:!?)]}")))
+    elif m := GROUPED.match(text, start):
+        ends.append(m.end())
+    return (start, max(ends)) if ends else None
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind's rank, end) in order; kinds are KINDS, places are code points, ends exclusive.
 
@@ -94,9 +118,9 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
                     end -= 1
                 if end > at + 3:
                     found.append((at - len(s[0]), 4, past_url := end))
-        elif at >= past_value and (at == 0 or not text[at - 1].isalnum()) and (m := VALUE.match(text, at + length)):
-            start, end = m.span(1)
-            if end - start >= VALUE_LENGTH and any(c.isdigit() for c in m[1]):
+        elif at >= past_value and (at == 0 or not text[at - 1].isalnum()) and (m := value(text, at, at + length)):
+            start, end = m
+            if end - start >= VALUE_LENGTH and any(c.isdigit() for c in text[start:end]):
                 found.append((start, 5, past_value := end))
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
