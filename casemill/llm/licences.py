@@ -17,9 +17,9 @@ from casemill.llm.licence_texts import KNOWN
 MOST_BROADCAST = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (pattern, replacement) in the order of use, on text whose A-Z are lower-cased. Copyright
-#: lines go first; then runs of ASCII characters other than letters and digits become a space; then spellings.
+#: lines (a sign, a year, a placeholder or `by` follows the word) go first; then runs of ASCII characters other than letters and digits become a space; then spellings.
 STEPS = (
-    (r"(?m)^[ \t#*/>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$", " "),
+    (r"(?m)^[ \t#*/>-]*(copyright[ \t:,]*(\(c\)|©|[0-9]|[\[<{]|by )|\(c\)[ \t]*(copyright|[0-9]|[\[<{])|©|all rights reserved)[^\n]*$", " "),
     (r"[\x01-/:-`{-\x7F]+", " "),
     (r"licence", "license"),
     (r"non commercial", "noncommercial"),
