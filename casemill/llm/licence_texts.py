@@ -1,4 +1,9 @@
-"""Known licence texts: short licences in full, and notices that name a licence in one line."""
+"""Known licence texts: licences in full, and notices that name a licence in one line.
+
+Long texts lie in `licence_files`, one for each licence.
+"""
+
+from pathlib import Path
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -34,6 +39,39 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
+#: How notices name a licence; the canonical form has no case, punctuation or spelling of "licence".
+_NAMES = {
+    "MIT": ("MIT License", "MIT"),
+    "ISC": ("ISC License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "Zlib": ("zlib License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License", "Creative Commons CC0 1.0 Universal License"),
+    **{f"CC-{k}-4.0": (f"CC {k} 4.0", f"CC {k} 4.0 License", f"Creative Commons {n} 4.0 International License", f"Creative Commons {n} 4.0 License") for k, n in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )},
+    **{f"{k}-{v}": tuple(f"{n}{sep}{w}" for n in (f"GNU {name}", f"GNU {k}", k) for w in {v, v.removesuffix(".0")} for sep in (" version ", " ", " v. ")) for k, name, versions in (
+        ("GPL", "General Public License", ("1.0", "2.0", "3.0")), ("LGPL", "Lesser General Public License", ("2.1", "3.0")),
+        ("LGPL", "Library General Public License", ("2.0",)), ("AGPL", "Affero General Public License", ("3.0",)), ("GFDL", "Free Documentation License", ("1.2", "1.3")),
+    ) for v in versions},
+    **{f"MPL-{v}": tuple(f"{n}{sep}{v}" for n in ("Mozilla Public License", "MPL") for sep in (" version ", " ", " v. ")) for v in ("1.1", "2.0")},
+}
+_SUBJECTS = ("", "This work is ", "This file is ", "This software is ", "This program is ", "This project is ")
+_VERBS = ("licensed under", "released under", "distributed under", "licensed under the terms of", "distributed under the terms of")
+
+
+def _notices():
+    for licence, names in _NAMES.items():
+        articles = ("the ", "a ", "") if licence.startswith("CC-") else ("the ", "")
+        yield from ((licence, f"{subject}{verb} {article}{name}") for subject in _SUBJECTS for verb in _VERBS for article in articles for name in names)
+        if licence.startswith(("GPL", "LGPL", "AGPL", "GFDL")):
+            yield from ((licence, f"SPDX-License-Identifier: {licence}{end}") for end in ("", "-only", "-or-later", "+"))
+        else:
+            yield licence, f"SPDX-License-Identifier: {licence}"
+
+
 #: (licence, text). Copyright lines are left out: the canonical form has none.
 KNOWN = (
     ("MIT", _MIT_GRANT),
@@ -50,4 +88,6 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    *((path.stem, path.read_text(encoding="utf-8")) for path in sorted((Path(__file__).parent / "licence_files").glob("*.txt"))),
+    *dict.fromkeys(_notices()),
 )

@@ -28,7 +28,7 @@ STEPS = (
     (r"favour", "favor"),
 )
 #: A line is looked up only if it has one of these; every known text has one (checked when it is loaded).
-CUE = "(?i)licen[cs]e|permi(t|ssion)|warrant"
+CUE = "(?i)licen[cs]e|permi(t|ssion)|warrant|(distributed|released) under"
 
 
 def canonical(text: Column) -> Column:
