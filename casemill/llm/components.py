@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import compact, discard, join_groups, stash
+from casemill.llm.common import compact, discard, join_groups, scratch, stash
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -34,10 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     that deals them to many tasks. The loop ends when a round changes no edge, seen by a count and a sum
     of hashes. Each round is stored on shared storage and the one before removed.
     """
+    spark = edges.sparkSession
     current = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seal = _seal(current)
     while seal[0]:
-        after = stash(compact(_small_star(_large_star(current, seal[0]), seal[0]), 2 * seal[0]))
+        with scratch(spark):
+            after = stash(compact(_small_star(_large_star(current, seal[0]), seal[0]), 2 * seal[0]))
         discard(current)
         before, seal, current = seal, _seal(after), after
         if seal == before:
