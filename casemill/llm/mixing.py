@@ -4,7 +4,7 @@ The words of each source form one stream (documents in hash order), which is cut
 of fixed length. Each source's total of words is its target; the slots that take them are
 spread over output shards by unit draws, so that a shard's counts by source are multinomial
 given the totals, and the totals are met to the word. A source's slots are numbered shard by
-shard; a slot's number gives a pass over the source and a place in it, the place is mapped by
+shard (in hash order); a slot's number gives a pass over the source and a place in it, the place is mapped by
 a pseudorandom permutation of that source and pass to a block index, and slots join blocks by
 (source, index). A pass takes no block twice, and a target of at most twice the size needs at
 most two passes, so no document is taken more than twice.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import compact, documents, join_groups, keep, running_start, source_key, word_count
+from casemill.llm.common import WORD, compact, documents, join_groups, keep, nested, running_start, small, source_key, word_count
 
 #: Words of a block, slots of an output shard, unit draws that one generated row expands to.
 BLOCK, SHARD_SLOTS, CHUNK = 128, 4096, 8192
@@ -81,12 +81,16 @@ def slots(planned: DataFrame) -> DataFrame:
     total = live.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_SLOTS))
     tasks = max(live.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
-    chunks = live.select("skey", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("_chunk"))
+    # three levels of at most CHUNK rows each, dealt out in between: no row makes a long array, however large its source
+    heaps = live.select("skey", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK * CHUNK})")).alias("_heap"))
+    if total > CHUNK * CHUNK:
+        heaps = heaps.repartition(tasks, "skey", "_heap")
+    chunks = heaps.select("skey", "slots", F.explode(F.expr(f"sequence(_heap * {CHUNK}, least((slots - 1) div {CHUNK}, (_heap + 1) * {CHUNK} - 1))")).alias("_chunk"))
     units = chunks.repartition(tasks, "skey", "_chunk").select("skey", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(slots, (_chunk + 1) * {CHUNK}) - 1)")).alias("_unit"))
-    drawn = units.groupBy("skey", F.expr(f"pmod(xxhash64('shard', skey, _unit), {shards})").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    firsts = drawn.withColumn("_first", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    drawn = keep(units.groupBy("skey", F.expr(f"pmod(xxhash64('shard', skey, _unit), {shards})").alias("shard")).agg(F.count(F.lit(1)).alias("n")))
+    firsts = running_start(drawn, "skey", ["shard"], "n", drawn.count()).withColumnRenamed("start", "_first")
     # a row holds a shard's slots of a source; dealt out before they are expanded, as bytes say nothing about that
-    numbered = firsts.join(live, "skey").repartition(tasks, "skey", "shard").withColumn("q", F.explode(F.expr("sequence(_first, _first + n - 1)")))
+    numbered = firsts.join(small(live, live.count()), "skey").repartition(tasks, "skey", "shard").withColumn("q", F.explode(F.expr("sequence(_first, _first + n - 1)")))
     placed = numbered.withColumn("pass", F.expr("q div blocks")).withColumn("at", F.expr("q % blocks"))
     placed = placed.withColumn("index", F.expr(_permuted("at", "blocks", "skey, pass")))
     length = f"if(index = blocks - 1, short, {BLOCK})"
@@ -125,29 +129,30 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return compact(out, count)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The mix as documents: for each pass that takes words of a document a row with those words.
 
     A document taken whole keeps its text; of one taken in part, the words taken are joined by
-    spaces in their order. Columns stay those of `docs`; n_chars follows the text.
+    spaces in their order. Columns stay those of `docs`; `chars_col`, if there, follows the text. Null, empty and
+    blank texts have no words and give no row; a null source is a source; rows alike in id, source and text are rows of
+    their own; a text is split once, however long; an empty table gives an empty result. No column name can clash with a helper's.
     """
-    rows, pieces, _ = mix(docs)
-    runs = pieces.groupBy("skey", "start", "pass").agg(F.sum("length").alias("_words"), F.sort_array(F.collect_list(F.struct("from", "length"))).alias("_runs"))
-    wanted = rows.where("size > 0").join(runs, ["skey", "start"]).select(F.col("id").alias("_id"), F.col("skey").alias("_skey1"), F.col("hashed").alias("_hashed1"), "start", "_words", "_runs", F.col("size").alias("_size"))
-    keyed = docs.withColumn("_skey", source_key(F.col("source"))).withColumn("_hashed", F.xxhash64("text")).withColumn("_id0", F.col("doc_id"))
-    same = (F.col("_skey") == F.col("_skey1")) & (F.col("_hashed") == F.col("_hashed1")) & F.col("_id0").eqNullSafe(F.col("_id"))
+    rows, pieces, _ = mix(docs, id_col, text_col, source_col)
+    runs = pieces.groupBy("skey", "start", "pass").agg(F.sum("length").alias("words"), F.sort_array(F.collect_list(F.struct("from", "length"))).alias("runs"))
+    wanted = rows.where("size > 0").join(runs, ["skey", "start"]).select(F.col("id").alias("id1"), F.col("skey").alias("skey1"), F.col("hashed").alias("hashed1"), "start", "words", "runs", "size")
+    keyed = nested(docs, id=F.col(id_col), skey=source_key(F.col(source_col)), hashed=F.xxhash64(text_col))
+    whole = F.col("row").getField(text_col)
+    same = (F.col("skey") == F.col("skey1")) & (F.col("hashed") == F.col("hashed1")) & F.col("id").eqNullSafe(F.col("id1"))
     repeated = rows.where("size > 0").groupBy("skey", "hashed", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():  # rows alike in id, source and text are told apart by number
-        keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_skey", "_hashed", "_id0").orderBy("_id0")))
-        wanted = wanted.withColumn("_nth1", F.dense_rank().over(Window.partitionBy("_skey1", "_hashed1", "_id").orderBy("start")))
-        same = same & (F.col("_nth") == F.col("_nth1"))
-    joined = keyed.join(wanted, same)
-    words = F.expr("array_join(flatten(transform(_runs, r -> slice(regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), cast(r.from + 1 as int), cast(r.length as int)))), ' ')")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(words)
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("skey", "hashed", "id").orderBy("id")))
+        wanted = wanted.withColumn("nth1", F.dense_rank().over(Window.partitionBy("skey1", "hashed1", "id1").orderBy("start")))
+        same = same & (F.col("nth") == F.col("nth1"))
+    split = F.array(F.regexp_extract_all(whole, F.lit(f"({WORD})"), F.lit(1)))  # bound by the outer lambda: once for a text
+    chosen = F.transform(split, lambda words: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["length"].cast("int")))), " "))[0]
+    made = keyed.join(wanted, same).select("row", F.when(F.col("words") == F.col("size"), whole).otherwise(chosen).alias("text"))
+    new = {text_col: F.col("text"), **({chars_col: F.length("text").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})}
+    return made.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 QUERIES = {"op9_mixing": op9_mixing}
