@@ -99,7 +99,8 @@ def test_bins_against_a_plain_search(lengths, most_open):
 
 
 def test_pipeline(spark, sf, docs, tokenizer):
-    from test_dedup import brute_components, brute_exact, brute_fingerprint
+    from test_dedup import brute_exact
+    from test_minhash import brute_kept
 
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "mixing", "packing"]
@@ -110,8 +111,8 @@ def test_pipeline(spark, sf, docs, tokenizer):
     keep = {k for _, k, _, _ in brute_exact([(r.doc_id, r.text) for r in first.collect()])}
     assert second.columns == docs.columns and sorted(r.doc_id for r in second.collect()) == sorted(keep)
     third = stages["near_dedup"](spark, second, sf).cache()
-    roots = brute_components({r.doc_id: brute_fingerprint(r.text) for r in second.collect()})
-    assert third.columns == docs.columns and sorted(r.doc_id for r in third.collect()) == sorted(set(roots.values()))
+    alike = [d for _, d in brute_kept([(r.doc_id, r.text) for r in second.collect()])]  # five-word shingles, 0.8 or more, all pairs
+    assert third.columns == docs.columns and sorted(r.doc_id for r in third.collect()) == alike
     fourth = stages["mixing"](spark, third, sf).cache()
     assert fourth.columns == docs.columns
     texts, before = defaultdict(list), {r.doc_id: r for r in third.collect()}
