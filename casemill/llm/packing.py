@@ -1,20 +1,24 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
-Each task streams its documents through a bounded number of open bins, so memory does not
-depend on the input and nothing is shuffled. Open bins are kept by their free space in a
+One scan tokenises documents and stores their pieces. Pieces then stream, in as few tasks as their number allows,
+through a bounded number of open bins, so memory does not depend on the input, nothing is shuffled, and the number of
+sequences hardly depends on how the input was partitioned. Open bins are kept by their free space in a
 bitset: the least free space that still holds a piece is one shift and one lowest-bit
 operation away. When a new bin would exceed the bound, the fullest open bin closes.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import documents, small_batches
+from casemill.llm.common import documents, small_batches, spread, stash
 
 #: Tokens of a sequence, open bins of a task, id that ends a document.
 SEQUENCE, OPEN_BINS, END = 2048, 512, 0
@@ -23,15 +27,20 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: First code point that the fast encoder leaves to the reference tokenizer. Below it the
 #: letter, digit and space classes of the split pattern are the same in every Unicode version.
 SETTLED = "ɐ"
+#: The fast encoder's pattern matcher gives up on runs of white space of several hundred thousand; longer ones than this are left to the tokenizer.
+LONG_RUN = re.compile(r"\s{100000}")
+#: Pieces that a task places, about.
+TASK_PIECES = 200_000
 
-SCHEMA = "doc_id {kind}, piece int, start bigint, length bigint, tokens binary, sequence_id bigint, `offset` bigint"
+PIECES = {"doc_id": None, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "tokens": pa.binary(), "ids_crc32": pa.int64()}
 
 
 class Encoder:
     """Ids of texts as `tokenizers` gives them, special tokens' names being ordinary text.
 
     The ranks file holds the same vocabulary; its encoder takes texts whose characters are
-    all below SETTLED and is four times as fast. Other texts go through `tokenizers` itself.
+    all below SETTLED and is four times as fast. Other texts go through `tokenizers` itself, and so do those that the
+    fast encoder fails on.
     """
 
     def __init__(self, vocabulary: str, ranks: str | None = None):
@@ -51,8 +60,12 @@ class Encoder:
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and (not text or max(text) < SETTLED):
-            return self.fast.encode_ordinary(text)
+        if self.fast is not None and (not text or max(text) < SETTLED) and not (len(text) >= 100_000 and LONG_RUN.search(text)):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as failure:  # a panic of the native code isn't an Exception
+                if type(failure).__name__ != "PanicException":
+                    raise
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
@@ -104,25 +117,10 @@ class Bins:
         return number
 
 
-def pack(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    sequence: int = SEQUENCE,
-    open_bins: int = OPEN_BINS,
-    vocabulary: str | None = None,
-    ranks: str | None = None,
-) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, tokens, sequence_id, offset.
-
-    A document is its text's ids and the end id; null and empty texts are the end id alone.
-    One longer than a sequence is cut from its end into whole sequences, so its first piece
-    may be shorter. `tokens` holds little-endian unsigned 32-bit ids. Sequence ids are the
-    task's number and a count, the same whenever the task runs again. Repeated rows are packed
-    again; null ids stay null; an empty table gives no piece; other columns are not read.
-    `vocabulary` and `ranks` are paths that executors can open; by default the installed public files.
-    """
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, vocabulary: str | None = None, ranks: str | None = None, tokens: bool = True) -> DataFrame:
+    """One row per piece of a document: doc_id, piece, start, length, and tokens or their checksum ids_crc32."""
     small_batches(docs.sparkSession)
+    names = [n for n in PIECES if n != ("ids_crc32" if tokens else "tokens")]
 
     def run(batches):
         own_vocabulary, own_ranks = vocabulary, ranks
@@ -130,8 +128,7 @@ def pack(
             import public_tokenizers
 
             own_vocabulary, own_ranks = public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS)
-        encode, bins = encoder(own_vocabulary, own_ranks), Bins(sequence, open_bins)
-        first_id = TaskContext.get().partitionId() << 32
+        encode = encoder(own_vocabulary, own_ranks)
         for batch in batches:
             rows: list[tuple] = []
             sources: list[int] = []
@@ -140,26 +137,65 @@ def pack(
                 start, piece = 0, 0
                 while start < len(ids):
                     length = (len(ids) - start) % sequence or min(sequence, len(ids) - start)
-                    number, offset = bins.put(length)
-                    rows.append((piece, start, length, ids[start : start + length].tobytes(), first_id + number, offset))
+                    own = ids[start : start + length].tobytes()
+                    rows.append((piece, start, length, own if tokens else zlib.crc32(own)))
                     sources.append(n)
                     start, piece = start + length, piece + 1
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            arrays = [batch.column(0).take(pa.array(sources, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "tokens", "sequence_id", "offset"])
+            columns = list(zip(*rows)) or [()] * 4
+            arrays = [batch.column(0).take(pa.array(sources, pa.int64())), *(pa.array(c, PIECES[k]) for c, k in zip(columns, names[1:]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA.format(kind=kind))
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, {'tokens binary' if tokens else 'ids_crc32 bigint'}"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def place(cut: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
+    """Adds sequence_id and offset to rows with a length, in the order of their partition."""
+
+    def run(batches):
+        bins, first_id = Bins(sequence, open_bins), TaskContext.get().partitionId() << 32
+        at = None
+        for batch in batches:
+            at = batch.schema.get_field_index("length") if at is None else at
+            found = [bins.put(n) for n in batch.column(at).to_pylist()]
+            ids = pa.array([first_id + number for number, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([offset for _, offset in found], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    return cut.mapInArrow(run, f"{fields}, sequence_id bigint, `offset` bigint")
+
+
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sequence: int = SEQUENCE,
+    open_bins: int = OPEN_BINS,
+    vocabulary: str | None = None,
+    ranks: str | None = None,
+    tokens: bool = True,
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, tokens, sequence_id, offset.
+
+    A document is its text's ids and the end id; null and empty texts are the end id alone.
+    One longer than a sequence is cut from its end into whole sequences, so its first piece
+    may be shorter. `tokens` holds little-endian unsigned 32-bit ids, or with `tokens=False` ids_crc32 their checksum. Sequence ids are the
+    placing task's number and a count, the same whenever the task runs again. Repeated rows are packed
+    again; null ids stay null; an empty table gives no piece; other columns are not read.
+    `vocabulary` and `ranks` are paths that executors can open; by default the installed public files.
+    """
+    cut = stash(pieces(docs, id_col, text_col, sequence, vocabulary, ranks, tokens))
+    return place(cut.coalesce(max(1, -(-cut.count() // TASK_PIECES))), sequence, open_bins)
 
 
 def packed_rows(docs: DataFrame) -> DataFrame:
     """Pieces with a checksum in the place of their tokens."""
-    return pack(docs).select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
+    return pack(docs, tokens=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_best_fit(spark, sf_dir: str) -> DataFrame:
-    return packed_rows(documents(spark, sf_dir))
+    return packed_rows(spread(documents(spark, sf_dir)))
 
 
 QUERIES = {"op4_best_fit": op4_best_fit}
