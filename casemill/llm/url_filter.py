@@ -1,10 +1,10 @@
 """URL filters: host rules, and a list of canonical URLs behind a blocked Bloom filter.
 
 The filter's blocks are rows (block number and four words of 64 bits), made by bitwise
-aggregation, so building it is one shuffle and no listed URL reaches the driver. Its size is
-fixed beforehand by the number of listed URLs and never exceeds MOST_BLOCKS rows, so it can
-be broadcast; a longer list only lets more false hits through. Possible hits go to an exact
-join on the URL's hash and the URL itself, which removes the false ones.
+aggregation, so building it is one shuffle and no listed URL reaches the driver. It grows with the list; up to
+MOST_BLOCKS rows it is broadcast, beyond that the URLs are shuffled to its blocks. The URLs that it
+lets through, each once and with the number of its rows, go to an exact hash join with the list, which removes the false hits. What is left
+marks the rows: broadcast if it is few URLs, else joined with the possible hits alone, hot URLs being dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import keep
+from casemill.llm.common import BROADCAST_ROWS, join_groups, keep, nested
 
 #: Words of a block and bits that a URL sets, one in each word; bits of filter for a listed URL.
 WORDS, BITS_PER_URL = 4, 16
-#: At most 48 MB in memory are broadcast: rows of five longs and a hash table's entry each.
+#: A filter of up to so many blocks is broadcast, at most 48 MB in memory: rows of five longs and a hash table's entry each.
 MOST_BLOCKS = 1 << 19
 #: (verdict, rule): a rule is a host and the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Names whose pages the query lists, one URL at a time, as a published blocklist would.
+#: What the query's list is made of: numbered pages 0 to 699 in four languages of spam names, and 300 to 399 of one ordinary host.
 LISTED_NAMES = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
+LISTED_PREFIXES, LISTED_ENDS, LISTED_LANGUAGES = ("", "m.", "blog."), ("com", "net", "org"), ("en", "fr", "de", "es")
+LISTED_PAGES, LISTED_HOST, LISTED_HOST_PAGES = 700, "blog.tionsh.example.com", (300, 400)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,7 +75,7 @@ def _masks(url: Column) -> list[Column]:
 
 def bloom(listed: DataFrame, url_col: str, count: int) -> tuple[DataFrame, int]:
     """(block, w0 .. w3) of the blocks with a bit, and the number of blocks."""
-    blocks = min(MOST_BLOCKS, max(1, -(-count * BITS_PER_URL // (64 * WORDS))))
+    blocks = max(1, -(-count * BITS_PER_URL // (64 * WORDS)))
     url = F.col(url_col)
     masks = listed.select(_block(url, blocks).alias("block"), *(m.alias(f"w{i}") for i, m in enumerate(_masks(url))))
     return masks.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS))), blocks
@@ -85,35 +87,51 @@ def filter_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", listed
     The rule's verdict holds where one fits; else a URL is blocked if its canonical form is
     that of a listed one, and allowed if not. Null and schemeless urls have empty host and
     path, fit no rule and are never listed. Null and repeated entries of the list count for nothing
-    and once; an empty list blocks nothing. Rows are never multiplied or dropped. A column of
-    `urls` that has one of the added names is replaced.
+    and once; an empty list blocks nothing. Rows are never multiplied or dropped, repeated ones included. A column of
+    `urls` that has one of the added names is replaced; no other name can clash.
     """
-    seen = listed.select(canonical(host_of(F.col(listed_col)), path_of(F.col(listed_col))).alias("_listed")).where("_listed <> ''").distinct()
-    seen = keep(seen)
-    blocks_df, blocks = bloom(seen, "_listed", seen.count())
-    parsed = urls.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    parsed = parsed.withColumn("canonical_url", canonical(F.col("host"), F.col("path"))).withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    probed = parsed.withColumn("_block", _block(F.col("canonical_url"), blocks)).join(F.broadcast(blocks_df), F.col("_block") == F.col("block"), "left")
+    seen = keep(listed.select(canonical(host_of(F.col(listed_col)), path_of(F.col(listed_col))).alias("listed_url")).where("listed_url <> ''").distinct())
+    blocks_df, blocks = bloom(seen, "listed_url", seen.count())
+    parsed = nested(urls, host=host_of(F.col(url_col)), path=path_of(F.col(url_col)))
+    parsed = parsed.withColumn("canonical_url", canonical(F.col("host"), F.col("path")))
+    with_block = parsed.where("canonical_url <> ''").select("canonical_url", _block(F.col("canonical_url"), blocks).alias("block"))
+    probed = with_block.join(F.broadcast(blocks_df) if blocks <= MOST_BLOCKS else blocks_df, "block")
     hit = reduce(Column.__and__, ((F.col(f"w{i}").bitwiseAND(m) != 0) for i, m in enumerate(_masks(F.col("canonical_url")))))
-    possible = probed.withColumn("_possible", F.coalesce(hit & (F.col("canonical_url") != ""), F.lit(False))).drop("block", "_block", *(f"w{i}" for i in range(WORDS)))
-    # only possible hits have a key, so nothing else meets anything in the exact join
-    keyed = possible.withColumn("_key", F.when(F.col("_possible"), F.col("canonical_url")))
-    hits = keyed.where("_possible").join(seen, F.col("_key") == F.col("_listed"), "left")
-    judged = hits.unionByName(keyed.where("not _possible").withColumn("_listed", F.lit(None).cast("string")))
-    listed_flag = F.col("_listed").isNotNull()
-    method = F.when(listed_flag, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.withColumn("listed", listed_flag).withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), method)).drop("_rule", "_possible", "_key", "_listed")
-
-
-def _is_listed(host: Column) -> Column:
-    return F.coalesce(host.rlike(rf"(^|\.)({'|'.join(LISTED_NAMES)})\.[^.]+\.[^.]+$"), F.lit(False))
+    possible = probed.where(hit).groupBy("canonical_url").agg(F.count(F.lit(1)).alias("n"))
+    exact = keep(possible.join(seen, F.col("canonical_url") == F.col("listed_url")).select("canonical_url", "n", F.lit(True).alias("on_list")))
+    found, rows = exact.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if found <= BROADCAST_ROWS:
+        judged = parsed.join(F.broadcast(exact.drop("n")), "canonical_url", "left")
+    else:  # only rows that may be on the list are shuffled
+        may = parsed.withColumn("block", F.when(F.col("canonical_url") != "", _block(F.col("canonical_url"), blocks)))
+        may = may.join(F.broadcast(blocks_df) if blocks <= MOST_BLOCKS else blocks_df, "block", "left").withColumn("may", F.coalesce(hit, F.lit(False))).select("row", "host", "path", "canonical_url", "may")
+        hits = may.where("may").withColumn("spread", F.xxhash64("row"))
+        judged = join_groups(hits, exact, ["canonical_url"], "n", rows, "left", "spread").drop("spread").unionByName(may.where("not may").withColumn("on_list", F.lit(None).cast("boolean"))).drop("may")
+    judged = judged.withColumn("on_list", F.coalesce("on_list", F.lit(False))).withColumn("matched", matching_rule(F.col("host"), F.col("path"), rules))
+    method = F.when(F.col("on_list"), F.lit("block")).otherwise(F.lit("allow"))
+    added = {
+        "host": F.col("host"), "path": F.col("path"), "canonical_url": F.col("canonical_url"), "listed": F.col("on_list"),
+        "rule": F.col("matched.rule"), "verdict": F.coalesce(F.col("matched.verdict"), method),
+    }
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in urls.columns if c not in added), *(v.alias(k) for k, v in added.items()))
+
+
+def listed_urls(spark) -> DataFrame:
+    """The query's list, about 151,000 URLs made by the rule above: it stands for a published blocklist."""
+    pick = lambda values: F.explode(F.array(*map(F.lit, values)))
+    pages = spark.range(LISTED_PAGES).select("id", pick(LISTED_NAMES).alias("name")).select("*", pick(LISTED_PREFIXES).alias("prefix")).select("*", pick(LISTED_ENDS).alias("end")).select("*", pick(LISTED_LANGUAGES).alias("lang"))
+    spam = pages.select(F.format_string("http://%s%s.example.%s/%s/%d", "prefix", "name", "end", "lang", "id").alias("url"))
+    some = spark.range(*LISTED_HOST_PAGES).select("id", pick(LISTED_LANGUAGES).alias("lang"))
+    return spam.unionByName(some.select(F.format_string(f"http://{LISTED_HOST}/%s/%d", "lang", "id").alias("url")))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
-    """The list is a table of URLs: those of all pages of hosts with a listed name."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.where(_is_listed(host_of(F.col("url")))).select("url")
-    return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
+    return filter_urls(pages, listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
+
+
+def _sql_values(values) -> str:
+    return ", ".join(f"('{v}')" for v in values)
 
 
 ORACLE = {
@@ -125,7 +143,9 @@ c AS (SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$',
        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM b),
-l AS (SELECT DISTINCT canonical_url FROM c WHERE canonical_url <> '' AND regexp_matches(host, '(^|\.)({"|".join(LISTED_NAMES)})\.[^.]+\.[^.]+$'))
+l AS (SELECT x || s || '.example.' || e || '/' || g || '/' || i AS canonical_url FROM (VALUES {_sql_values(LISTED_PREFIXES)}) x(x), (VALUES {_sql_values(LISTED_NAMES)}) s(s), (VALUES {_sql_values(LISTED_ENDS)}) e(e),
+   (VALUES {_sql_values(LISTED_LANGUAGES)}) g(g), range({LISTED_PAGES}) i(i)
+  UNION ALL SELECT '{LISTED_HOST}/' || g || '/' || i FROM (VALUES {_sql_values(LISTED_LANGUAGES)}) g(g), range({LISTED_HOST_PAGES[0]}, {LISTED_HOST_PAGES[1]}) i(i))
 SELECT page_id, host, path, rule, canonical_url, canonical_url IN (SELECT canonical_url FROM l) AS listed,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN canonical_url IN (SELECT canonical_url FROM l) THEN 'block' ELSE 'allow' END AS verdict
