@@ -1,9 +1,10 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds at-signs, schemes, plus signs and identifier cues. From each hit
+One Aho-Corasick pass finds at-signs, schemes, plus signs, dots between digits and identifier cues. From each hit
 a deterministic parser walks outwards over a fixed class of characters and validates what it
-has walked over; digit groups are walked from each run's first digit. No parser backtracks, so
-time is linear in the text.
+has walked over. Card numbers have no anchor of their own: the contract's base wants every group of digits judged, so runs of
+digits are walked from each one's first digit. No parser backtracks or walks over a place twice for the
+same kind, so time is linear in the text.
 """
 
 from __future__ import annotations
@@ -14,25 +15,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import documents, small_batches
+from casemill.llm.common import documents, small_batches, spread
 
 #: Kinds in the order that breaks ties of a start; the last two are what the method adds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 #: Identifier cues, lower case; a value follows after spaces, a separator or quotes.
 CUES = ("token", "password", "passwd", "secret", "api_key", "api key", "apikey", "access_key", "account", "acct", "iban", "passport", "ssn", "konto", "cuenta", "compte")
-#: Least length of a cue's value, which also has to hold a digit.
+#: What a cue's value is: of the forms below the longest that fits, with this many characters at least and one of them a digit. Shorter
+#: words and words without a digit ("password: forgotten") are prose far more often than values.
 VALUE_LENGTH = 6
 
+DIGITS = frozenset("0123456789")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 AUTHORITY = re.compile(r"[^\x00-\x20\"<>\\^`{|}]++")
-#: From a cue to its value: the rest of its word, a closing quote, up to three separators, an opening quote.
-LEAD = re.compile(r"[A-Za-z0-9_]*[\"']?(?:[ \t]{0,3}(?:[:=#]|(?:no|nr|num|number|is)(?![A-Za-z])\.?)){0,3}[ \t]{0,3}[\"']?", re.IGNORECASE)
+#: From a cue to its value: the rest of its word; then a closing quote, any separators and blanks, an opening quote.
+WORD_REST = re.compile(r"[A-Za-z0-9_]*+")
+LEAD = re.compile(r"[\"']?(?:[ \t]*+(?:[:=#]|(?:no|nr|num|number|is)(?![A-Za-z])\.?))*+[ \t]*+[\"']?", re.IGNORECASE)
 VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+-]*+")
 #: Values of SECRETS behind a colon, an equals sign or a quote may hold symbols.
 SECRETS = frozenset(CUES[:8])
@@ -60,7 +64,7 @@ def automaton():
         import ahocorasick
 
         _automaton = ahocorasick.Automaton()
-        for kind, words in (("at", ("@",)), ("scheme", ("://",)), ("plus", ("+",)), ("cue", CUES)):
+        for kind, words in (("at", ("@",)), ("scheme", ("://",)), ("plus", ("+",)), ("dot", tuple(f".{d}" for d in sorted(DIGITS))), ("cue", CUES)):
             for w in words:
                 _automaton.add_word(w, (kind, len(w)))
         _automaton.make_automaton()
@@ -73,14 +77,14 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def value(text: str, at: int, end: int) -> tuple[int, int] | None:
-    """Place of the value of the cue at text[at:end]: the longest of the forms that its cue allows."""
-    lead = LEAD.match(text, end)
-    start, ends = lead.end(), []
+def value(text: str, secret: bool, word_end: int, start: int) -> tuple[int, int] | None:
+    """Place of a cue's value: the longest of the forms that the cue allows (`secret`: it is one of SECRETS). The cue's word
+    ends at `word_end`, the lead to its value at `start`."""
+    ends = []
     if m := VALUE.match(text, start):
         ends.append(m.end())
-    if text[at:end].lower() in SECRETS:
-        if any(c in lead[0] for c in ":=\"'") and (m := SECRET.match(text, start)):
+    if secret:
+        if any(c in ":=\"'" for c in text[word_end:start]) and (m := SECRET.match(text, start)):
             ends.append(start + len(m[0].rstrip(".:!?)]}")))
     elif m := GROUPED.match(text, start):
         ends.append(m.end())
@@ -96,8 +100,10 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     found: list[tuple[int, int, int]] = []
-    past_email = past_phone = past_url = past_value = 0
-    for last, (kind, length) in automaton().iter(lowered(text)):
+    past_email = past_phone = past_url = past_value = past_ip = 0
+    word_end, lead_end, values = -1, -1, {}  # of the last cue's word: cues of one word share its lead and values
+    low = lowered(text)
+    for last, (kind, length) in automaton().iter(low):
         at = last - length + 1
         if kind == "at":
             start = at
@@ -111,20 +117,35 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
                 if 9 <= sum(c.isascii() and c.isdigit() for c in m[0]) <= 15:
                     found.append((at, 3, m.end()))
         elif kind == "scheme":
-            s = SCHEME.search(text[max(past_url, at - 32) : at])
-            if s and (m := AUTHORITY.match(text, at + 3)):
+            start = at
+            while start > past_url and text[start - 1] in SCHEME:
+                start -= 1
+            while start < at and not text[start].isalpha():
+                start += 1
+            if start < at and (m := AUTHORITY.match(text, at + 3)):
                 end = m.end()
                 while end > at + 3 and text[end - 1] in ".,;:!?)'":
                     end -= 1
                 if end > at + 3:
-                    found.append((at - len(s[0]), 4, past_url := end))
-        elif at >= past_value and (at == 0 or not text[at - 1].isalnum()) and (m := value(text, at, at + length)):
-            start, end = m
-            if end - start >= VALUE_LENGTH and any(c.isdigit() for c in text[start:end]):
-                found.append((start, 5, past_value := end))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            found.append((m.start(), 1, m.end()))
+                    found.append((start, 4, past_url := end))
+        elif kind == "dot":
+            start = at
+            while start > past_ip and text[start - 1] in DIGITS:
+                start -= 1
+            if start < at and (m := IP.match(text, start)):
+                past_ip = m.end()
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                    found.append((start, 1, past_ip))
+        elif at >= past_value and (at == 0 or not text[at - 1].isalnum()):
+            if at + length > word_end:
+                word_end = WORD_REST.match(text, at + length).end()
+                lead_end, values = LEAD.match(text, word_end).end(), {}
+            secret = low[at : at + length] in SECRETS
+            if secret not in values:
+                values[secret] = value(text, secret, word_end, lead_end)
+            m = values[secret]
+            if m and m[1] - m[0] >= VALUE_LENGTH and any(c.isdigit() for c in text[m[0] : m[1]]):
+                found.append((m[0], 5, past_value := m[1]))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -136,8 +157,8 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col and spans, an array of (kind, start, end) in order.
 
-    Null and empty texts have an empty array; repeated rows are repeated; an empty table gives
-    an empty result; other columns are not read.
+    Null and empty texts have an empty array; long texts are read whole; repeated rows are repeated; an empty table gives
+    an empty result; other columns are not read, so their names may clash.
     """
     small_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -160,7 +181,7 @@ def _counted(kind: str):
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    found = find_pii(documents(spark, sf_dir))
+    found = find_pii(spread(documents(spark, sf_dir)))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *(_counted(k) for k in BASE), F.sha2(_shown(base), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))
 
