@@ -2,9 +2,9 @@
 
 A text's statistics (one pass, whole text) are a point; random splits isolate unusual points
 early, so short path lengths mark anomalous documents (Liu, Ting and Zhou 2008). Trees are
-grown on labelled good rows, with splits drawn over the box that all labelled rows fill, so
+grown on one half of the labelled rows, its good ones, with splits drawn over the box that its rows fill, so
 that regions without good rows are cut off early. The score above which a document is dropped
-is calibrated on labelled rows. Both come from a bounded sample.
+is calibrated on the other half. Both come from a bounded sample.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import documents, keep, small_batches
+from casemill.llm.common import documents, keep, small_batches, spread
 
 #: Symbols that the base counts; words of a repeated window.
 SYMBOLS, WINDOW = b"#*$%&|<>", 8
@@ -30,7 +30,11 @@ DEEPEST = 12
 MOST_GOOD_LOST = 0.005
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
-#: The point of a text: square roots of rates, so that a text's length alone is no anomaly.
+#: Windows from which on words are compared by hashes, so that memory is some numbers for each word.
+MANY_WINDOWS = 4096
+#: Odd multipliers of the two 64-bit hashes of a window.
+BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: The point of a text: square roots of rates, so that a text's length alone is no anomaly, and the logarithm of the mean word length.
 FEATURES = ("symbol_rate", "upper_rate", "mark_rate", "dup_line_rate", "repeat_rate", "word_length")
 
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -38,28 +42,57 @@ _MARKS = b"!?;:~^_=+@/\\{}[]\"`"
 _UPPER = bytes(range(65, 91))
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
-    """Words within windows that occur twice or more, first occurrences included."""
-    n = len(words) - window + 1
-    if n < 2:
-        return 0
+def _views(words: list[bytes], window: int) -> list[bytes]:
+    """The text of each window."""
     joined, ends, at = b" ".join(words), [], 0
     for w in words:
         at += len(w)
         ends.append(at)
         at += 1
     starts = [0, *(e + 1 for e in ends)]
-    views = [joined[i:j] for i, j in zip(starts, ends[window - 1 :])]
-    if len(set(views)) == n:
-        return 0
+    return [joined[i:j] for i, j in zip(starts, ends[window - 1 :])]
+
+
+def _repeated_views(words: list[bytes], window: int) -> np.ndarray:
+    """Places of windows that occur twice or more, by their text."""
+    views = _views(words, window)
+    if len(set(views)) == len(views):
+        return np.zeros(0, dtype=np.int64)
     seen: dict[bytes, int] = {}
-    twice = np.zeros(n, dtype=bool)
+    twice = np.zeros(len(views), dtype=bool)
     for i, v in enumerate(views):
         first = seen.setdefault(v, i)
         if first != i:
             twice[i] = twice[first] = True
-    at = np.flatnonzero(twice)
-    return int(window + np.minimum(np.diff(at), window).sum())
+    return np.flatnonzero(twice)
+
+
+def _repeated_hashes(words: list[bytes], window: int) -> np.ndarray:
+    """The same by 128-bit rolling hashes: polynomials of the words' hashes."""
+    from xxhash import xxh64_intdigest
+
+    n = len(words) - window + 1
+    halves = []
+    for seed, base in enumerate(BASES):
+        hashed = np.fromiter((xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+        whole = hashed[:n].copy()
+        for k in range(1, window):
+            whole = whole * base + hashed[k : k + n]
+        halves.append(whole)
+    order = np.lexsort(halves)
+    same = (halves[0][order[1:]] == halves[0][order[:-1]]) & (halves[1][order[1:]] == halves[1][order[:-1]])
+    twice = np.zeros(n, dtype=bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    return np.flatnonzero(twice)
+
+
+def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
+    """Words within windows that occur twice or more, first occurrences included."""
+    n = len(words) - window + 1
+    if n < 2:
+        return 0
+    at = (_repeated_views if n < MANY_WINDOWS else _repeated_hashes)(words, window)
+    return int(window + np.minimum(np.diff(at), window).sum()) if len(at) else 0
 
 
 def statistics(text: str | None) -> tuple[int, ...]:
@@ -99,8 +132,8 @@ def points(counts: dict[str, np.ndarray]) -> np.ndarray:
     """FEATURES of rows of COUNTS."""
     c = {k: v.astype(np.float64) for k, v in counts.items()}
     chars, words, lines = (np.maximum(c[k], 1) for k in ("word_chars", "n_words", "n_lines"))
-    rates = [c["n_symbols"] / chars, c["n_upper"] / chars, c["n_marks"] / chars, c["n_dup_lines"] / lines, c["n_repeat_words"] / words, np.minimum(c["word_chars"] / words, 64)]
-    return np.sqrt(np.stack(rates, axis=1))
+    rates = [c["n_symbols"] / chars, c["n_upper"] / chars, c["n_marks"] / chars, c["n_dup_lines"] / lines, c["n_repeat_words"] / words]
+    return np.stack([*map(np.sqrt, rates), np.log1p(c["word_chars"] / words)], axis=1)
 
 
 def _expected(n: int) -> float:
@@ -165,21 +198,36 @@ def calibrate(scores: np.ndarray, good: np.ndarray, most_lost: float = MOST_GOOD
     return float(candidates[best] + candidates[best + 1]) / 2 if best + 1 < len(candidates) else float("inf")
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", most: int = LABELLED) -> tuple[Forest, float] | None:
-    """Forest and threshold from at most `most` labelled rows, those with the least hashed ids.
+def labelled_rows(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", most: int = LABELLED) -> DataFrame:
+    """(id, good, *COUNTS) of at most `most` labelled ids, those with the least hashes, one row each.
 
-    Rows without a label teach nothing; of several labels for an id the least counts. None if
-    no labelled row is good.
+    Rows without a label teach nothing; of several labels for an id the least counts, of several texts the one with the least statistics.
     """
     labelled = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.min(label_col).alias("good"))
     sample = labelled.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)
-    rows = stats.join(F.broadcast(sample), "id").select("good", *COUNTS).orderBy(*COUNTS).limit(2 * most).toPandas()
-    good = rows["good"].to_numpy() > 0
-    if not good.any():
+    found = stats.join(F.broadcast(sample), "id").groupBy("id").agg(F.first("good").alias("good"), F.min(F.struct(*COUNTS)).alias("counts"))
+    return found.select("id", "good", "counts.*")
+
+
+def fit_rows(table: np.ndarray, good: np.ndarray, grown: np.ndarray) -> tuple[Forest, float] | None:
+    """Forest from the good rows among `grown`, threshold from the others. None if no row to grow on is good.
+
+    Where no other row is labelled (a handful of labels), the threshold comes from the grown rows themselves.
+    """
+    if not (good & grown).any():
+        return None
+    forest = Forest(table[good & grown], table[grown].min(axis=0), table[grown].max(axis=0))
+    rest = ~grown if (good & ~grown).any() else grown
+    return forest, calibrate(forest.score(table[rest]), good[rest])
+
+
+def fit(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", most: int = LABELLED) -> tuple[Forest, float] | None:
+    """Forest and threshold from `labelled_rows`, which are halved by a hash of the id; at most `most` rows reach the driver."""
+    half = F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0
+    rows = labelled_rows(stats, labels, label_id, label_col, most).withColumn("grown", half).orderBy("id").toPandas()
+    if not len(rows):
         return None
-    table = points({k: rows[k].to_numpy() for k in COUNTS})
-    forest = Forest(table[good], table.min(axis=0), table.max(axis=0))
-    return forest, calibrate(forest.score(table), good)
+    return fit_rows(points({k: rows[k].to_numpy() for k in COUNTS}), rows["good"].to_numpy() > 0, rows["grown"].to_numpy(dtype=bool))
 
 
 def judge(stats: DataFrame, fitted: tuple[Forest, float] | None) -> DataFrame:
@@ -201,7 +249,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """One row per input row: id_col, COUNTS, base_failed, score, kept.
 
     Null and empty texts have counts of zero and fail the base; repeated rows are judged
-    alike; an empty table gives an empty result. Without labels the base rules decide alone.
+    alike; very long texts are read whole; an empty table gives an empty result. Without labels the base rules decide alone.
+    Other columns are not read, so their names may clash.
     """
     stats = keep(rule_statistics(docs, id_col, text_col))
     return judge(stats, fit(stats, labels)).withColumnRenamed("id", id_col)
@@ -209,7 +258,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality(documents(spark, sf_dir), labels).select("doc_id", *COUNTS[:5], "base_failed", "kept", "score")
+    return quality(spread(documents(spark, sf_dir)), labels).select("doc_id", *COUNTS[:5], "base_failed", "kept", "score")
 
 
 QUERIES = {"op3_quality": op3_quality}
