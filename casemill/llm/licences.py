@@ -41,11 +41,14 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(digest, licence) of the known texts, one row per digest (the least name)."""
+    import json
     import re
 
     if without := [name for name, text in known if not re.search(CUE, text)]:
         raise ValueError(f"known texts without a cue: {without}")
-    table = spark.createDataFrame([tuple(x) for x in known], "licence string, text string")
+    # a literal that the JVM parses: no Python worker has a part in it
+    listed = F.from_json(F.lit(json.dumps([{"licence": a, "text": b} for a, b in known])), "array<struct<licence:string,text:string>>")
+    table = spark.range(1).select(F.inline(listed))
     return table.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
@@ -65,7 +68,8 @@ def scan_documents(docs: DataFrame, known: DataFrame, known_rows: int, id_col: s
 
     Lines are looked up as entire texts too: n_notices counts those that are a known text, and
     notices has their licences, distinct, sorted, comma-joined (empty if none). A null text
-    has no lines; repeated rows are rows of their own; an empty table gives an empty result.
+    has no lines; repeated rows are rows of their own; texts and lines of any length are looked up whole; an empty table gives an
+    empty result; other columns are not read, so their names may clash.
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
     whole = scan(texts, known, known_rows, "_text").select("_id", "_hash", "digest", "licence")
