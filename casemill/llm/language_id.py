@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import documents, small_batches
+from casemill.llm.common import documents, small_batches, spread
 
 #: n-grams of a profile and of a document's ranking; longest n-gram.
 PROFILE, RANKING, LONGEST = 400, 300, 3
@@ -184,7 +184,7 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text",
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     found = identify(docs, learn(training_rows(docs), "doc_id", "text", "lang"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import compact, documents, join_groups, small_batches, stash
+from casemill.llm.common import compact, documents, join_groups, keep, small_batches, spread, stash
 from casemill.llm.components import components
 from casemill.llm.minhash import keep_one  # noqa: F401
 
@@ -23,6 +23,8 @@ from casemill.llm.minhash import keep_one  # noqa: F401
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 2
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 BLOCK = 1 << 14
+#: Fingerprints whose balls a task makes, about.
+EXPANDED = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -60,8 +62,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def links(values: DataFrame) -> DataFrame:
-    """(a, b): edges that connect what lies within RADIUS bits; `values` has distinct fp."""
+def links(values: DataFrame, rows: int | None = None) -> DataFrame:
+    """(a, b): edges that connect what lies within RADIUS bits; `values` has distinct fp, at most `rows` if given."""
+    if rows:  # a row of 8 bytes becomes 65: dealt out by rows, as bytes say nothing about that
+        values = values.repartition(max(values.sparkSession.sparkContext.defaultParallelism, -(-rows // EXPANDED)), "fp")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)))
     balls = values.select("fp", F.explode(flips).alias("_flip")).select("fp", F.col("fp").bitwiseXOR(F.col("_flip")).alias("variant"))
     met = balls.withColumn("least", F.min("fp").over(Window.partitionBy("variant")))
@@ -72,15 +76,15 @@ def links(values: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest id reachable over links, the row's own included. Texts
+    Very long texts count whole, in blocks; other columns are not read. component_id is the smallest id reachable over links, the row's own included. Texts
     without a word (null, empty, blank) have fingerprint zero and are linked with it like any
     other. Repeated ids are repeated in the result; null ids never become a component_id
     while the component has another. An empty table gives an empty result.
     """
     marked = stash(fingerprints(docs, id_col, text_col, shingle))
     rows = marked.count()
-    values = marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(values.select("fp")))
+    values = keep(marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(values.select("fp"), values.count()))
     placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("values"))
     named = join_groups(placed, least, ["root"], "values", rows, "inner", "fp").select("fp", "n", "component_id")
@@ -89,7 +93,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    return simhash_groups(documents(spark, sf_dir))
+    return simhash_groups(spread(documents(spark, sf_dir)))
 
 
 QUERIES = {"op8_simhash": op8_simhash}
