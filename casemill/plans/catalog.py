@@ -395,10 +395,9 @@ def phrase_translate(spark, sf_dir):
     return out.select("id", "translated", F.col("c.text").alias("cached"), F.col("c.confidence").alias("cached_confidence"))
 
 
-@query(r"""SELECT doc_id, sha256(list_aggregate(list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10))) AS formatted FROM documents WHERE trim(text) <> ''""")
+@query(r"""SELECT doc_id, sha256(coalesce(list_aggregate(list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10)), '')) AS formatted FROM documents""")
 def english_format(spark, sf_dir):
-    docs = S.documents(spark, sf_dir).where(F.trim("text") != "")
-    return docs.select("doc_id", F.sha2(L.format_english(F.col("text")), 256).alias("formatted"))
+    return S.documents(spark, sf_dir).select("doc_id", F.sha2(L.format_english(F.col("text")), 256).alias("formatted"))
 
 
 @query(
@@ -455,11 +454,11 @@ def quality_metrics(spark, sf_dir):
     """WITH t AS (SELECT doc_id, greatest(1, length(replace(text, ' ', '')))::DOUBLE AS n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin,
   length(regexp_replace(text, '[^A-Za-z0-9ऀ-ॿ]', '', 'g')) AS solid, (doc_id % 10) / 10.0::DOUBLE AS c FROM documents)
 SELECT doc_id, round_even(c * 0.2::DOUBLE, 4) AS recovery, round_even(latin / n, 4) AS latin_ratio, round_even(c * 0.8::DOUBLE + solid / n * 0.2::DOUBLE, 6) AS line_score,
-  concat_ws(',', 'devanagari_recovery_too_low_for_translation', CASE WHEN doc_id % 2 = 0 THEN 'expected_devanagari_but_ocr_produced_latin_garbage' END, CASE WHEN c < 0.6 THEN 'low_ocr_confidence' END, CASE WHEN doc_id % 3 = 0 THEN 'unstable_script_detection' END) AS reasons FROM t WHERE c * 0.2 < 0.15"""
+  concat_ws(',', CASE WHEN c * 0.2::DOUBLE < 0.15 THEN 'devanagari_recovery_too_low_for_translation' END, CASE WHEN doc_id % 2 = 0 THEN 'expected_devanagari_but_ocr_produced_latin_garbage' END, CASE WHEN c < 0.6 THEN 'low_ocr_confidence' END, CASE WHEN doc_id % 3 = 0 THEN 'unstable_script_detection' END) AS reasons FROM t"""
 )
 def review_gate(spark, sf_dir):
     docs = S.documents(spark, sf_dir).withColumn("c", (F.col("doc_id") % 10) / F.lit(10.0))
-    rows = docs.withColumn("r", Q.devanagari_recovery(F.col("text"), F.col("c"))).where(F.col("c") * 0.2 < 0.15)
+    rows = docs.withColumn("r", Q.devanagari_recovery(F.col("text"), F.col("c")))
     gate = Q.review_gate(F.col("r"), F.when(F.col("doc_id") % 2 == 0, "devanagari").otherwise("mixed"), F.when(F.col("doc_id") % 3 == 0, 0.2).otherwise(0.9), F.col("c"))
     return rows.select("doc_id", F.col("r.devanagari_recovery_score").alias("recovery"), "r.latin_ratio", half_even(Q.line_score(F.col("text"), F.col("c")), 6).alias("line_score"), F.array_join(gate["review_reasons"], ",").alias("reasons"))
 
@@ -617,13 +616,13 @@ def token_recovery(spark, sf_dir):
 
 @query(
     """SELECT key AS id, concat_ws(',', CASE WHEN key % 2 = 0 THEN 'language_misclassification' END, CASE WHEN key % 3 = 0 THEN 'dialect_misclassification' END,
-CASE WHEN key % 5 = 0 THEN 'routing_misclassification' END, CASE WHEN key % 7 = 0 THEN 'entity_loss:' || phone_digits END, CASE WHEN key % 11 = 0 THEN 'hallucination_threshold_exceeded' END) AS reasons FROM """
+CASE WHEN key % 5 = 0 THEN 'routing_misclassification' END, CASE WHEN key % 7 = 0 THEN 'entity_loss:' || phone_digits END, CASE WHEN key % 11 = 0 THEN 'hallucination_threshold_exceeded' END, CASE WHEN key % 13 = 0 THEN 'rejected:Lost validated phone: ' || phone_digits END) AS reasons FROM """
     + S.PARTS_SQL.replace("p AS ", "", 1)
 )
 def case_failures(spark, sf_dir):
     rows = S.text_parts(spark, sf_dir)
     off = lambda n, bad, good: F.when(F.col("key") % n == 0, bad).otherwise(good)
-    meta = {"language": off(2, "English", "Hinglish"), "dialect": off(3, "Standard English", "Romanized Marwari"), "route": off(5, "x", "y"), "text": off(7, F.lit(""), F.col("phone_digits")), "hallucination_rate": off(11, 20.0, 0.0)}
+    meta = {"language": off(2, "English", "Hinglish"), "dialect": off(3, "Standard English", "Romanized Marwari"), "route": off(5, "x", "y"), "text": off(7, F.lit(""), F.col("phone_digits")), "hallucination_rate": off(11, 20.0, 0.0), "was_rejected": F.col("key") % 13 == 0, "rejection_reason": F.concat(F.lit("Lost validated phone: "), "phone_digits")}
     expected = {"language": F.lit("Hinglish"), "dialect_contains": F.lit("Marwari"), "route": F.lit("y"), "must_preserve": F.array("phone_digits")}
     return rows.select(F.col("key").alias("id"), F.array_join(Q.case_failures(meta, expected), ",").alias("reasons"))
 
