@@ -66,3 +66,38 @@ def test_null_and_repeated_ids(spark):
     kept = kept.collect()
     firsts = sorted((r.doc_id or 0, r.text.split()[0].lower()) for r in kept)
     assert firsts == [(0, "b0"), (0, "d0"), (1, "a0"), (7, "c0"), (9, "same")]
+
+
+def test_prefixes_and_bitmaps_lose_no_pair():
+    rng = random.Random(8)
+    linked = 0
+    for _ in range(300):
+        n = rng.randrange(1, 200)
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        other = near(words, rng.randrange(1 + n // 20), rng).split() + [f"y{k}" for k in range(rng.randrange(1 + n // 10))]
+        sets = [minhash.hashed_shingles(" ".join(w).encode().split()) for w in (words, other)]
+        both = len(set(sets[0].tolist()) & set(sets[1].tolist()))
+        assert sum((int(x) ^ int(y)).bit_count() for x, y in zip(*(minhash.bitmap(s).view("uint64") for s in sets))) <= len(sets[0]) + len(sets[1]) - 2 * both
+        if both < minhash.SIMILAR * (len(sets[0]) + len(sets[1]) - both):
+            continue
+        linked += 1
+        frequent = {t: rng.randrange(16, 40) for s in sets for t in s.tolist() if t % 3}
+        x, y = (minhash.prefix(s, frequent).tolist() for s in sets)
+        first = min((x.index(t), y.index(t)) for t in x if t in y)
+        needed = minhash.SIMILAR * (len(sets[0]) + len(sets[1])) - minhash.ROUNDING
+        assert all((len(s) - at) * (1 + minhash.SIMILAR) >= needed for s, at in zip(sets, first))
+    assert linked > 100
+
+
+def test_long_passage_over_many_texts_of_several_groups(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(150):  # the passage is 70 to 100 % of a text, so some pairs are just similar and others just not
+        tail = [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 70))]
+        rows.append((i, " ".join(words + tail)))
+        if i % 5 == 0:
+            rows.append((1000 + i, near(words + tail, 3, rng)))
+    rows = [(d, t) for k, (d, t) in enumerate(rows) if len(t.split()) > 180 or k % 4 == 0]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((False, r.doc_id) for r in kept) == brute_kept(rows)
