@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -107,6 +108,17 @@ def release(spark: SparkSession | None = None) -> None:
         df.unpersist()
 
 
+def settle(spark: SparkSession) -> None:
+    """Gives back what earlier steps kept, and lets Spark delete the shuffle files of frames that nobody holds any more.
+
+    Spark does so once the driver's garbage collector meets such frames, which may be long after. For the beginning of a
+    stage whose input is stored.
+    """
+    release(spark)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Gives back at the end what is kept within: for steps whose result is stored by then."""
