@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import unquote
 from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
@@ -108,13 +109,19 @@ def release(spark: SparkSession | None = None) -> None:
         df.unpersist()
 
 
-def settle(spark: SparkSession) -> None:
-    """Gives back what earlier steps kept, and lets Spark delete the shuffle files of frames that nobody holds any more.
+def settle(spark: SparkSession, docs: DataFrame) -> None:
+    """Gives back what earlier steps kept and the copies that `docs` doesn't read, and lets Spark delete the shuffle files of frames that nobody holds any more.
 
     Spark does so once the driver's garbage collector meets such frames, which may be long after. For the beginning of a
     stage whose input is stored.
     """
     release(spark)
+    folders = {unquote(file.rsplit("/", 1)[0]) for file in docs.inputFiles()}
+    for df in _stashed.pop(spark, []):
+        if any(folder.endswith(df._stash_path.rsplit("/", 1)[1]) for folder in folders):
+            _stashed.setdefault(spark, []).append(df)
+        else:
+            discard(df)
     gc.collect()
     spark._jvm.System.gc()
 
