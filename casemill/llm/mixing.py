@@ -114,7 +114,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = keep(running_start(sized, "skey", ["id", "hashed", "size"], "size", count))
     cut = placed.where("size > 0").select("skey", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("index"))
     cut = cut.select("skey", "start", "index", F.expr(f"greatest(start, index * {BLOCK})").alias("_from"), F.expr(f"least(start + size, (index + 1) * {BLOCK})").alias("_to"))
-    taken = slots(planned).join(cut, ["skey", "index"]).withColumn("_end", F.expr(f"least(_to, index * {BLOCK} + take)")).where("_end > _from")
+    # both sides are rows made of few: Spark sizes them by those few and would send all slots to the driver for a broadcast
+    taken = slots(planned).hint("merge").join(cut, ["skey", "index"]).withColumn("_end", F.expr(f"least(_to, index * {BLOCK} + take)")).where("_end > _from")
     pieces = taken.select("skey", "start", "shard", "slot", "pass", F.expr("_from - start").alias("from"), F.expr("_end - _from").alias("length"))
     rows = join_groups(placed, planned.select("skey", "source_size", "target", "source_rows"), ["skey"], "source_rows", count, "inner", "start")
     return rows, pieces, count

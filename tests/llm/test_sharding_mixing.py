@@ -148,3 +148,14 @@ def test_mix_odd_rows(odd, empty):
 def test_native(spark, sf):
     plan = QUERIES["op9_mixing"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_slots_of_the_mix_are_not_broadcast(spark):
+    text = "word " * 3000
+    docs = spark.createDataFrame([(d, text, f"s{d % 3}") for d in range(60)], "doc_id bigint, text string, source string")
+    _, pieces, _ = mixing.mix(docs)
+    assert pieces.count() > 2000
+    counted = pieces.groupBy().count()
+    counted.collect()
+    joins = [x for x in counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in x and "index" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
