@@ -122,6 +122,11 @@ def settle(spark: SparkSession, docs: DataFrame) -> None:
             _stashed.setdefault(spark, []).append(df)
         else:
             discard(df)
+    forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds any more."""
     gc.collect()
     spark._jvm.System.gc()
 

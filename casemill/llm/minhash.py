@@ -1,6 +1,7 @@
-"""Near copies by their share of common shingles: MinHash candidates, exact check, one row of each group.
+"""Near copies by their share of common shingles: SimHash balls and MinHash candidates, exact check, one row of each group.
 
-Texts are compared as sets of five-word shingles. Each distinct text gets BANDS keys, each
+Texts are compared as sets of five-word shingles. First come the candidates of ball hashing (`simhash.links`): texts whose fingerprints, of
+these shingles, are equal or linked at two bits. They are the closest copies. For pairs at 0.8 that differ in more bits each distinct text gets BANDS keys, each
 made of DEPTH minima; texts that share a key are candidates, and a candidate pair is linked only if
 its exact Jaccard similarity is SIMILAR or more. A pair at 0.8 shares a key with probability
 1 - (1 - 0.8**5)**24 = 0.9999.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.llm.common import discard, join_groups, keep, nested, scratch, small, small_batches, stash
+from casemill.llm.common import discard, forget, join_groups, keep, nested, scratch, small, small_batches, stash
 from casemill.llm.components import components
 
 #: Words of a shingle, least similarity of a link, keys of a text, minima of a key, seed of XXH64.
@@ -83,19 +84,21 @@ def hashed_shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(whole)
 
 
-def sketch(text: str | None) -> tuple[int, int, list[int]]:
-    """(node, number of distinct shingles, band keys) of a text.
+def sketch(text: str | None) -> tuple[int, int, list[int], int]:
+    """(node, number of distinct shingles, band keys, signed SimHash fingerprint of the distinct shingles) of a text.
 
     The node is a signed hash of the lower-cased words, so equal for texts that differ in case and spacing only. A text
-    without a word has no key. Shingles are told apart by 64-bit hashes here; the exact check reads them themselves.
+    without a word has no key and fingerprint 0. Shingles are told apart by 64-bit hashes here; the exact check reads them themselves.
     """
     from xxhash import xxh64_intdigest
 
+    from casemill.llm.simhash import majority
+
     words = (text or "").encode().lower().split()
     node = xxh64_intdigest(b" ".join(words), SEED)
     node -= (node >> 63) << 64
     if not words:
-        return node, 0, []
+        return node, 0, [], 0
     whole = hashed_shingles(words)
     hashes = ((whole * MIX) >> np.uint64(32)).astype(np.uint32)
     factors, shifts = _PERMUTATIONS
@@ -103,7 +106,8 @@ def sketch(text: str | None) -> tuple[int, int, list[int]]:
     for i in range(0, len(hashes), BLOCK):
         np.minimum(least, (factors * hashes[i : i + BLOCK] + shifts).min(axis=1), out=least)
     minima = least.reshape(BANDS, -1)
-    return node, len(whole), [xxh64_intdigest(minima[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+    fingerprint = majority(whole)
+    return node, len(whole), [xxh64_intdigest(minima[k].tobytes(), k) - (1 << 63) for k in range(BANDS)], fingerprint - (fingerprint >> 63 << 64)
 
 
 def prefix(whole: np.ndarray, frequent: dict[int, int]) -> np.ndarray:
@@ -117,18 +121,18 @@ def prefix(whole: np.ndarray, frequent: dict[int, int]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash, node, size, keys) of every row: a hash of its text, and its sketch."""
+    """(id, hash, node, size, keys, fp) of every row: a hash of its text, and its sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             found = [sketch(t) for t in batch.column(2).to_pylist()]
-            columns = ([f[k] for f in found] for k in range(3))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "hash", "node", "size", "keys"])
+            columns = ([f[k] for f in found] for k in range(4))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "hash", "node", "size", "keys", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return told_apart(docs, id_col, text_col).mapInArrow(run, f"id {kind}, hash bigint, node bigint, size bigint, keys array<bigint>")
+    return told_apart(docs, id_col, text_col).mapInArrow(run, f"id {kind}, hash bigint, node bigint, size bigint, keys array<bigint>, fp bigint")
 
 
 def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,21 +274,44 @@ def candidates(pairs: DataFrame) -> DataFrame:
     return pairs.where(fit & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def by_balls(values: DataFrame, count: int) -> DataFrame:
+    """Candidates of ball hashing among `count` texts (node, size, fp): each text with the least one of its fingerprint, and these with
+    those of the fingerprints that theirs are linked to."""
+    from casemill.llm.simhash import links
+
+    with scratch(values.sparkSession):
+        least = keep(values.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x"), F.count(F.lit(1)).alias("n")))
+        same = join_groups(values.select("fp", "node", F.struct("node", "size").alias("y")), least.where("n > 1"), ["fp"], "n", count, "inner", "node")
+        linked = stash(links(least.select("fp"), least.count()))
+        many = linked.count()
+        ends = [linked.select(F.col(end).alias("fp")) for end in ("a", "b")]
+        wanted = keep(ends[0].unionByName(ends[1]).distinct())
+        heads = keep(least.join(small(wanted, 2 * many), "fp", "left_semi").select("fp", "x"))
+        apart = linked.join(small(heads.toDF("a", "x"), 2 * many), "a").join(small(heads.toDF("b", "y"), 2 * many), "b")
+        out = stash(candidates(same.select("x", "y").unionByName(apart.select("x", "y"))))
+        discard(linked)
+    forget(values.sparkSession)
+    return out
+
+
 def groups(values: DataFrame, texts: DataFrame, repeated: bool = True) -> DataFrame:
     """(node, root) of the nodes that are linked with another, root being the least node of the group;
-    `values` has distinct (node, id, hash, size, keys), `texts` is as `told_apart` makes it, `repeated` says whether it may have rows
+    `values` has distinct (node, id, hash, size, keys, fp), `texts` is as `told_apart` makes it, `repeated` says whether it may have rows
     alike in id and hash."""
     spark = values.sparkSession
     count = values.count() * BANDS
+    close = by_balls(values.select("node", "size", "fp"), count // BANDS)
     shared = meet(values, count)
-    # the one text of each node that shares a key; what is compared is read from here
+    # the one text of each node that shares a key or is in a close pair; what is compared is read from here
     with scratch(spark):
-        meeting = keep(values.join(shared.select(F.col("node").alias("_node")).distinct(), F.col("node") == F.col("_node"), "left_semi").select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash")))
+        wanted = shared.select(F.col("node").alias("_node")).unionByName(close.select(F.explode(F.array("a", "b")).alias("_node"))).distinct()
+        meeting = keep(values.join(wanted, F.col("node") == F.col("_node"), "left_semi").select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash")))
         here = (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))
         pool = texts.join(small(meeting, meeting.count()), here).select("node", "text")
         pool = stash(pool.groupBy("node").agg(F.first("text").alias("text")) if repeated else pool)
-    tried = stash(candidates(shared.select(F.col("least").alias("x"), F.col("m").alias("y"))))
-    roots = components(verified(tried, pool))
+    fresh = stash(candidates(shared.select(F.col("least").alias("x"), F.col("m").alias("y"))).join(close, ["a", "b"], "left_anti"))
+    roots = components(verified(close, pool).unionByName(verified(fresh, pool)))
+    tried = close.unionByName(fresh)
     open_ = unsettled(shared, roots, BANDS, count)
     discard(shared)
     if open_.isEmpty():
@@ -345,8 +372,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     marked = stash(signatures(docs, id_col, text_col))
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("one")
-    values = marked.groupBy("node").agg(one, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    values = stash(values.select("node", "one", "one.id", "one.hash", "size", "keys"))
+    values = marked.groupBy("node").agg(one, F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    values = stash(values.select("node", "one", "one.id", "one.hash", "size", "keys", "fp"))
     twice = stash(marked.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("hash").alias("_hash")))
     repeated = not twice.isEmpty()
     roots = groups(values, told_apart(docs, id_col, text_col), repeated).withColumnRenamed("node", "_node")

@@ -43,6 +43,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = ends[shingle - 1 :] or ends[-1:]
     hashes = np.fromiter((xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, last)), dtype="<u8", count=len(last))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned; each bit is set if it is set in over half the 64-bit hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), BLOCK):
         ones += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -101,3 +101,22 @@ def test_long_passage_over_many_texts_of_several_groups(spark):
     rows = [(d, t) for k, (d, t) in enumerate(rows) if len(t.split()) > 180 or k % 4 == 0]
     kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((False, r.doc_id) for r in kept) == brute_kept(rows)
+
+
+def test_ball_hashing_gives_candidates(spark):
+    rng = random.Random(10)
+    words = [[f"w{rng.randrange(5000)}" for _ in range(1500)] for _ in range(12)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "end"]) for w in words] + ["", "one two", "one two three four five six"]
+    marked = minhash.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text")
+    rows = marked.collect()
+    assert rows[-3].fp == 0 and len({r.node for r in rows}) == len(texts)
+    close = {frozenset(p) for p in minhash.by_balls(marked.select("node", "size", "fp"), len(texts)).collect()}
+    fits = lambda x, y: min(x.size, y.size) >= minhash.SIMILAR * max(x.size, y.size)
+    bits = lambda x, y: ((x.fp ^ y.fp) & (2**64 - 1)).bit_count()
+    near_bits = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if bits(x, y) <= simhash.RADIUS and fits(x, y)]
+    assert len(near_bits) >= 6 and close <= {frozenset((x.node, y.node)) for x, y in near_bits}
+    root = {r.node: r.node for r in rows}
+    for _ in rows:  # what is near in bits is connected
+        for a, b in map(tuple, close):
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(root[x.node] == root[y.node] for x, y in near_bits)
